@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import chat, decontaminate, jaccard, mixing, quality, sharding, toxicity
+from quillwork.llm import chat, decontaminate, jaccard, mixing, quality, sharding, suffixes, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -29,6 +33,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.score(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,8 +79,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_warc": op2_warc,
         "op3_jaccard": op3_jaccard,
         "op4_decontamination": op4_decontamination,
+        "op5_topk": op5_topk,
+        "op6_suffix_tree": op6_suffix_tree,
         "op7_toxicity": op7_toxicity,
         "op8_chat": op8_chat,
         "op9_sharding": op9_sharding,

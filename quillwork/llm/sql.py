@@ -76,4 +76,33 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 FROM told
 """
 
-ORACLES = {"op1_mixing": OP1, "op4_decontamination": OP4, "op8_chat": OP8}
+# Base32 of the SHA-1: 40 hexadecimal digits to 160 bits, taken by fives.
+OP2 = r"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+keepers AS (SELECT sha, payload_bytes, max(page_id) AS keeper FROM hashed GROUP BY ALL),
+bits AS (
+  SELECT sha, array_to_string(list_transform(range(1, 41), lambda i: format('{:04b}', instr('0123456789abcdef', sha[i]) - 1)), '') AS b
+  FROM (SELECT DISTINCT sha FROM hashed)),
+named AS (
+  SELECT sha, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * b[5 * i + 1]::INT + 8 * b[5 * i + 2]::INT + 4 * b[5 * i + 3]::INT + 2 * b[5 * i + 4]::INT + b[5 * i + 5]::INT, 1)), '') AS payload_digest
+  FROM bits)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM hashed JOIN keepers USING (sha, payload_bytes) JOIN named USING (sha)
+"""
+
+OP5 = r"""
+WITH used AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS r
+  FROM used q JOIN used c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= 10
+"""
+
+ORACLES = {"op1_mixing": OP1, "op2_warc": OP2, "op5_topk": OP5, "op4_decontamination": OP4, "op8_chat": OP8}
