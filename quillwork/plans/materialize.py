@@ -8,6 +8,7 @@ laptop) a folder of our own is used.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what materialize() wrote for df, once nothing reads it any more."""
+    drop_path(df.sparkSession, df._written)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of finished steps, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
