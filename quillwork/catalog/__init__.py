@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillwork.catalog import streams
+from quillwork.catalog import safety, streams
 
-MODULES = (streams,)
+MODULES = (streams, safety)
 
 
 def queries() -> dict:
