@@ -123,7 +123,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], values: Callable[
     return base.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """batch in slices whose column has at most `most` bytes each, or a single row."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillwork.llm import labelled
-from quillwork.llm.packed import append_columns
+from quillwork.llm.packed import append_columns, pieces
 from quillwork.llm.words import fold_of
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -41,7 +41,7 @@ WINDOW_WORDS = 1
 DICT_BYTES = 4096
 MIN_TEST = 15.0
 PAD = b"~" * 48
-CACHE = 400_000
+CACHE = 250_000
 UPPER_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -136,12 +136,12 @@ def score(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None)
     savers: list[Saver] = []
 
     def scores(batch: pa.RecordBatch) -> list:
-        texts = batch.column("text").to_pylist()
         if not model:
-            return [np.zeros(len(texts))]
+            return [np.zeros(len(batch))]
         if not savers:
             savers.append(Saver(model["toxic"], model["ordinary"]))
-        x = np.array([savers[0].describe(t) for t in texts]).reshape(-1, 6)
+        x = [savers[0].describe(t) for piece in pieces(batch, "text") for t in piece.column("text").to_pylist()]
+        x = np.array(x).reshape(-1, 6)
         return [1 / (1 + np.exp(-np.clip(labelled.decide(x, model["model"]), -30, 30)))]
 
     return append_columns(docs, [T.StructField("score", T.DoubleType())], scores, columns)
