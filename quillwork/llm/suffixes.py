@@ -144,6 +144,8 @@ class Tree:
 
         Transitions: index of the context, symbol, count; ordered by context.
         """
+        if not len(contexts):
+            return np.zeros(0, np.int64)
         q = 10 ** self.probability(parents[at], symbols_)
         n = totals[at]
         kinds = np.bincount(at, minlength=len(contexts)).astype(np.float64)
@@ -167,9 +169,9 @@ class Tree:
         return state
 
 
-def _arrays(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(counts: DataFrame, least: float, with_end: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of at least `least`; a threshold in proportion to the corpus bounds their number."""
-    found = counts.filter(F.col("c") >= F.lit(float(least))).toArrow()
+    found = counts.filter((F.col("c") >= F.lit(float(least))) | F.lit(with_end) & (F.col("h") == 0)).toArrow()
     return found.column("h").to_numpy().astype(np.int64), found.column("c").to_numpy().astype(np.float64)
 
 
@@ -178,7 +180,7 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame, int]:
     spark = docs.sparkSession
     words = materialize(counted(docs, lambda b: symbols(b)[0], "words"), "lm-words")
     total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head, counts = _arrays(words, max(1.0, HEAD * total))
+    head, counts = _arrays(words, max(1.0, HEAD * total), with_end=True)
     tree = Tree(head.view(np.uint64), counts, int(total), int(types))
     context_least, joint_least = max(MIN_COUNT, CONTEXT * total), max(MIN_COUNT, JOINT * total)
 
