@@ -166,4 +166,5 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     _, hits = matches(docs, items, width)
     # Keys of contaminated documents only; counted before they are broadcast.
     bad = broadcast_if_small(materialize(hits.select("key").distinct(), "bench-bad"))
-    return docs.withColumn("_key", row_key()).join(bad.withColumnRenamed("key", "_key"), "_key", "left_anti").drop("_key")
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), row_key().alias("key"))
+    return keyed.join(bad, "key", "left_anti").select("_doc.*")

@@ -101,9 +101,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, rows_per_bu
 
     Only sizes and checksums are written in between, never texts.
     """
-    named = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_cell", "_bucket")
+    named = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = F.col("text")
-    base = docs.drop(*named) if keep else docs.select("doc_id", "text")
+    base = docs.select("doc_id", "text", *([F.struct(*[c for c in docs.columns if c not in named]).alias("_doc")] if keep else []))
     crc = F.crc32(text.cast("binary"))
     sized = base.withColumns(
         {
@@ -112,8 +112,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, rows_per_bu
             "_cell": F.coalesce(F.floor(crc * F.lit(cells) / F.lit(1 << 32)), F.lit(0)).cast("int"),
         }
     )
+    sized = sized.drop("text")
     if not keep:
-        sized = materialize(sized.drop("text"), "shard-sizes")
+        sized = materialize(sized, "shard-sizes")
     by_cell = materialize(
         sized.groupBy(F.col("_cell").alias("cell")).agg(F.sum("size").alias("load"), F.count("*").alias("rows")), "shard-cells"
     )
@@ -131,5 +132,4 @@ def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, rows_per_bu
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     numbered = running(placed, ["shard"], "_bucket", order, F.lit(1), "slot")
     out = numbered.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-    rest = [c for c in base.columns if c not in ("doc_id", "text")] if keep else []
-    return out.select("doc_id", *(["text"] if keep else []), *rest, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return out.select("_doc.*" if keep else "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
