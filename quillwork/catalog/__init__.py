@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillwork.catalog import safety, streams
+from quillwork.catalog import numeric, safety, streams
 
-MODULES = (streams, safety)
+MODULES = (streams, safety, numeric)
 
 
 def queries() -> dict:
