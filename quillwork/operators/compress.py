@@ -22,7 +22,7 @@ PREFERENCE = ("dict-zstd", "zstd", "br", "gzip", "identity")
 
 def accept_encoding(header: Column) -> Column:
     """Known encodings a header accepts, by falling quality and then place; identity is implied unless forbidden."""
-    parts = F.filter(F.transform(F.split(header, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(header, ","), lambda p: F.trim(p)), lambda p: p != "")
     parsed = F.transform(
         parts,
         lambda p, i: F.struct(
