@@ -7,7 +7,8 @@ distinct shingles; linked documents are put into components.
    on.  Shingles in the lowest part of the hash space are counted over the whole
    corpus: a set with so many shingles that no other set holds that its prefix is
    full of them can't reach the similarity with any other and is done.
-2. The rest are candidates.  Over them all shingles are counted, which orders
+2. The rest are candidates, which a second count among them over more of the hash
+   space thins out.  Over what is left all shingles are counted, which orders
    shingles from rare to frequent.  The prefix of a set is its first
    n - ceil(t n) + 1 shingles in that order; shingles that only one candidate holds
    take places in it but can't match.
@@ -28,26 +29,18 @@ id, null if none of its rows has one.
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.components import components
 from quillwork.llm.shingles import row_key, with_sets
-from quillwork.plans.materialize import broadcast_if_small, materialize
+from quillwork.plans.materialize import broadcast_if_small, discard, materialize, release
 
 WIDTH, PERCENT = 3, 90
 #: Hub rounds before all remaining pairs are made; any number gives the same result.
 HUB_ROUNDS = 2
 
 
-def release(spark) -> None:
-    """Lets Spark remove shuffle files of finished steps, which it does when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def ceil_div(a: Column, b: int | Column) -> Column:
     """Whole-number ceiling, for positive values."""
     return F.floor((a + b - 1) / b).cast("int")
@@ -57,15 +50,29 @@ def prefix_length(n: Column, percent: int) -> Column:
     return n - ceil_div(n * percent, 100) + 1
 
 
-def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, rep) of the distinct sets that may reach the similarity with another set."""
-    tokens = sets.select("sid", F.explode("low").alias("h"))
+def alone(tokens: DataFrame) -> DataFrame:
+    """(sid, alone): how many of a set's tokens (sid, h) no other set holds; sets without any are left out."""
     single = tokens.groupBy("h").agg(F.min("sid").alias("sid"), F.max("sid").alias("other")).filter("sid = other")
-    single = single.groupBy("sid").agg(F.count("*").alias("alone"))
+    return single.groupBy("sid").agg(F.count("*").alias("alone"))
+
+
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, rep, row) of the distinct sets that may reach the similarity with another set."""
+    single = alone(sets.select("sid", F.explode("low").alias("h")))
     distinct = sets.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.min("key").alias("row"))
     return distinct.join(single, "sid", "left").filter(F.coalesce("alone", F.lit(0)) < prefix_length(F.col("n"), percent)).select("sid", "n", "rep", "row")
 
 
+def still_alive(full: DataFrame, percent: int, share: float) -> DataFrame:
+    """Rows of full(sid, n, low) that a second count, among candidates and over a larger part of the hash space, leaves."""
+    # Hashes are unsigned, so the sign bit is turned before they are compared.
+    limit = min(int(share * 2**64) - 2**63, 2**63 - 1)
+    part = F.filter("low", lambda h: h.bitwiseXOR(F.lit(-(2**63))) <= F.lit(limit))
+    single = alone(full.select("sid", F.explode(part).alias("h")))
+    gone = single.join(full.select("sid", "n"), "sid").filter(F.col("alone") >= prefix_length(F.col("n"), percent)).select("sid")
+    return full.join(gone, "sid", "left_anti")
+
+
 def prefixes(full: DataFrame, percent: int) -> DataFrame:
     """(sid, n, alone, prefix) from (sid, n, low with the whole set): rarest shared shingles, after `alone` places."""
     tokens = full.select("sid", F.explode("low").alias("h"))
@@ -172,8 +179,10 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     spark = docs.sparkSession
     share = min(1.0, 1.5 * (100 - percent) / 100)
     rows = docs.select("doc_id", "text").withColumn("key", row_key())
-    sets = materialize(with_sets(rows, width, share, percent), "jaccard-sets")
-    chosen = materialize(candidates(sets, percent), "jaccard-candidates")
+    wide = materialize(with_sets(rows, width, share, percent), "jaccard-wide")
+    chosen = materialize(candidates(wide, percent), "jaccard-candidates")
+    sets = materialize(wide.drop("low"), "jaccard-sets")
+    discard(wide)
     release(spark)
     # Keys and ids of candidates, counted before they are broadcast.
     texts = rows.join(broadcast_if_small(chosen.select(F.col("row").alias("key"))), "key", "left_semi")
@@ -181,7 +190,10 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     full = materialize(full, "jaccard-full")
     if full.count() > full.select("sid").distinct().count():  # equal rows: one of each is enough
         full = materialize(full.groupBy("sid").agg(F.first("n").alias("n"), F.first("low").alias("low")), "jaccard-full")
-    labels = links(full, percent)
+    alive = materialize(still_alive(full, percent, min(1.0, 3 * share)), "jaccard-alive")
+    discard(full)
+    release(spark)
+    labels = links(alive, percent)
 
     distinct = sets.filter("n > 0").groupBy("sid", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("best"))
     placed = distinct.join(labels, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
@@ -205,9 +217,9 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     gone = marked.filter(F.col("key") != F.col("first")).select("key").distinct()
     again = marked.filter((F.col("key") == F.col("first")) & (F.col("n_shingles") > 0)).groupBy("key").count().filter("count > 1").select("key")
     gone, again = materialize(gone, "jaccard-gone"), materialize(again, "jaccard-again")
-    keyed = docs.withColumn("_key", row_key())
-    kept = keyed.join(broadcast_if_small(gone.withColumnRenamed("key", "_key")), "_key", "left_anti")
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), row_key().alias("key"))
+    kept = keyed.join(broadcast_if_small(gone), "key", "left_anti")
     if again.limit(1).count():
-        twice = broadcast_if_small(again.withColumnRenamed("key", "_key"))
-        kept = kept.join(twice, "_key", "left_anti").unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
-    return kept.drop("_key")
+        twice = broadcast_if_small(again)
+        kept = kept.join(twice, "key", "left_anti").unionByName(kept.join(twice, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("_doc.*")
