@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillwork.catalog import numeric, safety, streams
+from quillwork.catalog import numeric, safety, streams, text
 
-MODULES = (streams, safety, numeric)
+MODULES = (streams, safety, numeric, text)
 
 
 def queries() -> dict:
