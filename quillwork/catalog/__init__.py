@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillwork.catalog import numeric, safety, streams, text
+from quillwork.catalog import documents, numeric, safety, streams, text
 
-MODULES = (streams, safety, numeric, text)
+MODULES = (streams, safety, numeric, text, documents)
 
 
 def queries() -> dict:
