@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillwork.operators import compress, latents, matrix
+from quillwork.plans.spread import spread
 from quillwork.plans.streams import joined, read
 
 HEADERS = ("gzip, br;q=0.5, zstd;q=0.3", "zstd, gzip", "br", "*;q=0", "identity;q=0, gzip", "", "GZIP;q=0.2, br; q=0.9, deflate", "identity", "br, zstd;q=0", "zstd;q=1.0, br;q=1.0")
@@ -20,12 +21,12 @@ def accept_encoding_parse(spark, sf_dir):
 
 
 def byte_entropy(spark, sf_dir):
-    return compress.byte_entropy(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.round("bits", 5).alias("bits"))
+    return compress.byte_entropy(spread(read(spark, sf_dir, "documents")), "doc_id", "text").select("doc_id", F.round("bits", 5).alias("bits"))
 
 
 def entropy_buckets(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", compress.bucket(F.octet_length("text")).alias("bucket"))
-    bits = compress.byte_entropy(read(spark, sf_dir, "documents"), "doc_id", "text")
+    bits = compress.byte_entropy(spread(read(spark, sf_dir, "documents")), "doc_id", "text")
     return docs.join(bits, "doc_id").groupBy("bucket").agg(F.count("*").alias("n_docs"), F.round(F.avg("bits"), 5).alias("mean_bits"))
 
 
@@ -68,7 +69,7 @@ def best_encoding_per_size(spark, sf_dir):
 
 def gzip_zstd_sizes(spark, sf_dir):
     data = F.encode(F.col("text"), "utf-8")
-    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("identity"), compress.gzip_length(data).alias("gzip"), compress.zstd_length(data).alias("zstd"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.octet_length("text").alias("identity"), compress.gzip_length(data).alias("gzip"), compress.zstd_length(data).alias("zstd"))
 
 
 def dictionary_training(spark, sf_dir):

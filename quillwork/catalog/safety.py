@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillwork.operators import conversations as C
 from quillwork.operators.safety import prefilter, sanitize
 from quillwork.operators.safety import rules as R
+from quillwork.plans.spread import spread
 from quillwork.plans.streams import read
 
 PAYLOADS = (
@@ -29,7 +30,7 @@ def _sql_text(s: str) -> str:
 
 def _docs(spark, sf_dir, payloads=PAYLOADS):
     extra = F.element_at(F.array(*map(F.lit, payloads)), (F.col("doc_id") % len(payloads) + 1).cast("int"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.concat("text", extra).alias("text"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.concat("text", extra).alias("text"))
 
 
 def _with(payloads=PAYLOADS) -> str:
@@ -48,7 +49,8 @@ def _matches(spark, sf_dir, **options):
 
 
 def prefilter_matches(spark, sf_dir):
-    rows = _matches(spark, sf_dir).select("doc_id", F.explode("m").alias("m"))
+    # Exploded where it is computed: from a column of its own, Spark would derive a filter that scans again.
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(prefilter.scan(F.col("text"))).alias("m"))
     return rows.select("doc_id", "m.category", "m.rule", F.col("m.start").alias("start_at"), F.col("m.end").alias("end_at"), "m.value", F.round("m.confidence", 6).alias("confidence"))
 
 

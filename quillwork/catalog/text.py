@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import pretok
 from quillwork.operators import tokenize
+from quillwork.plans.spread import spread
 from quillwork.plans.streams import joined, read
 
 #: Folder of the public vocabulary files; a parameter, as they aren't part of this repository.
@@ -23,7 +24,7 @@ def vocabulary(spark, name: str = "byte_bpe_50k") -> tokenize.Vocabulary:
 
 
 def _pieces(spark, sf_dir, pieces):
-    docs = read(spark, sf_dir, "documents").select("doc_id", pieces.alias("p"))
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", pieces.alias("p"))
     return docs.select("doc_id", F.size("p").alias("n_pieces"), F.sha2(F.array_join("p", "\u0001"), 256).alias("pieces_sha256"))
 
 
@@ -97,18 +98,18 @@ def longest_match_encode(spark, sf_dir):
 
 def bpe_encode(spark, sf_dir):
     ids = tokenize.encode(F.col("text"), vocabulary(spark))
-    return read(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").alias("n_ids"), F.sha2(joined(F.col("ids")), 256).alias("ids_sha256"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").alias("n_ids"), F.sha2(joined(F.col("ids")), 256).alias("ids_sha256"))
 
 
 def bpe_roundtrip(spark, sf_dir):
     v = vocabulary(spark)
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", tokenize.encode(F.col("text"), v).alias("ids"))
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", "text", tokenize.encode(F.col("text"), v).alias("ids"))
     return docs.select("doc_id", (tokenize.detokenize(F.col("ids"), v) == F.col("text")).alias("same_text"))
 
 
 def translate_ids(spark, sf_dir):
     a, b = vocabulary(spark), vocabulary(spark, "byte_bpe_multi_50k")
-    docs = read(spark, sf_dir, "documents").select("doc_id", tokenize.encode(F.col("text"), a).alias("ids"))
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", tokenize.encode(F.col("text"), a).alias("ids"))
     docs = docs.withColumn("other", tokenize.translate(F.col("ids"), a, b))
     return docs.select("doc_id", F.size("ids").alias("n_ids"), F.size("other").alias("n_other"), F.round(F.size("other") / F.greatest(F.size("ids"), F.lit(1)), 6).alias("ratio"))
 

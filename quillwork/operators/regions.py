@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.plans.materialize import materialize
 from quillwork.plans.ranks import running
 
 CAP = 65536
@@ -62,7 +63,8 @@ def watch(tokens: DataFrame, start: int, end: int, cap: int = CAP, ends: DataFra
     ends(stream_id, length, finish_reason): the streams that have ended; only those
     can be truncated.
     """
-    t = states(tokens, start, end)
+    # Five kinds of events are read from the states, so these are written once.
+    t = materialize(states(tokens, start, end).select(*KEYS, "pos", "id", "what", "region", "body_before"), "region-states")
     opens = t.filter("what = 'open'").select("stream_id", "region", F.col("body_before").alias("base"))
     body = t.filter("what = 'body'").join(opens, ["stream_id", "region"]).withColumn("rn", F.col("body_before") - F.col("base") + 1)
     bodies = body.groupBy("stream_id", "region").agg(ids_in_order(F.col("rn") <= cap).alias("ids"), F.count("*").alias("n"))

@@ -6,16 +6,29 @@ pieces between them, so scanning stays inside the JVM; one row in, one row out.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillwork.functions.bind import let
 from quillwork.operators.safety import rules as R
 
 MATCH = "array<struct<start:int,end:int,rank:double,order:int,category:string,rule:string,value:string,confidence:double>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches, none of them empty."""
+def may_match(text: Column, lower: Column, rule: R.Rule) -> Column:
+    """False only where a rule can't match; a search for fixed texts."""
+    if words := R.NEEDS.get(rule.name):
+        return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
+    if words := R.NEEDS_LOWER.get(rule.name):
+        return reduce(or_, (F.contains(lower, F.lit(w)) for w in words))
+    return text.rlike(R.NEEDS_PATTERN.get(rule.name) or R.java(rule.pattern))
+
+
+def spans(text: Column, pattern: str, may: Column | None = None) -> Column:
+    """array<struct<start, end, value>> of a pattern's matches, none of them empty; may: a cheaper test for texts without any."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     between = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
@@ -28,7 +41,7 @@ def spans(text: Column, pattern: str) -> Column:
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     # Texts without a match, nearly all of them, pay for one search.
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+    return F.when(text.rlike(pattern) if may is None else may, F.aggregate(pairs, start, step)["out"]).otherwise(empty)
 
 
 def luhn(value: Column) -> Column:
@@ -45,10 +58,12 @@ def _luhn_digit(d: Column, i: Column) -> Column:
 
 def entropy(value: Column) -> Column:
     """Shannon entropy in bits a character."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    n = F.size(chars)
-    terms = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-    return F.aggregate(terms, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+    def of(chars: Column) -> Column:
+        terms = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
+        return F.aggregate(terms, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+    return let(F.filter(F.split(value, ""), lambda c: c != ""), of)
 
 
 def _match(s: Column, order: int, category: str, name: str, confidence: Column) -> Column:
@@ -66,19 +81,27 @@ def _rated(order: int, name: str):
     return lambda s: _match(s, order, "high_entropy", name, F.least(F.lit(0.95), 0.7 + (s["h"] - 4.0) * 0.15))
 
 
-def scan(
+def scan(text: Column, *how, **options) -> Column:
+    """Matches by start, end and falling confidence; of equal spans the most confident.
+
+    Takes min_confidence, min_entropy, categories and blocked, the host's own rules.
+    """
+    return let(F.struct(text.alias("text"), F.lower(text).alias("lower")), lambda t: _scan(t["text"], t["lower"], *how, **options))
+
+
+def _scan(
     text: Column,
+    lower: Column,
     min_confidence: float = R.MIN_CONFIDENCE,
     min_entropy: float = R.MIN_ENTROPY,
     categories: tuple[str, ...] = ("secrets", "pii", "high_entropy", "dangerous_action", "blocked_action"),
     blocked: tuple[R.Rule, ...] = (),
 ) -> Column:
-    """Matches by start, end and falling confidence; of equal spans the most confident."""
     used = [r for r in R.RULES if r.category in categories and r.confidence >= min_confidence]
     used += [r for r in blocked if "blocked_action" in categories and r.confidence >= min_confidence]
     parts = []
     for i, r in enumerate(used):
-        found = spans(text, R.java(r.pattern))
+        found = spans(text, R.java(r.pattern), may_match(text, lower, r))
         if r.name == "credit_card_candidate":
             found = F.filter(found, lambda s: luhn(s["value"]))
         parts.append(F.transform(found, _named(i, r)))
@@ -93,8 +116,7 @@ def scan(
         rated = F.transform(strong, _rated(100 + i, name))
         entropic.append(F.filter(rated, lambda m: m["confidence"] >= min_confidence))
     opaque = F.flatten(F.array(*entropic))
-    # A struct of both, so that the named matches are computed once.
-    return F.transform(F.array(F.struct(named.alias("n"), opaque.alias("o"))), lambda x: _distinct_spans(F.concat(x["n"], _uncovered(x["o"], x["n"]))))[0]
+    return let(F.struct(named.alias("n"), opaque.alias("o")), lambda x: _distinct_spans(F.concat(x["n"], _uncovered(x["o"], x["n"]))))
 
 
 def _uncovered(opaque: Column, named: Column) -> Column:
@@ -104,12 +126,16 @@ def _uncovered(opaque: Column, named: Column) -> Column:
         return (m["start"] <= e["start"]) & (m["end"] >= e["end"]) & (m["confidence"] >= R.COVERING)
 
     free = F.filter(opaque, lambda e: ~F.exists(named, lambda m: covers(m, e)))
-    return F.filter(free, lambda e: (e["rule"] == "entropy_base64") | ~F.exists(F.filter(free, lambda m: m["rule"] == "entropy_base64"), lambda m: covers(m, e)))
+    long_runs = lambda f: F.filter(f, lambda m: m["rule"] == "entropy_base64")
+    return let(free, lambda f: F.filter(f, lambda e: (e["rule"] == "entropy_base64") | ~F.exists(long_runs(f), lambda m: covers(m, e))))
 
 
 def _distinct_spans(matches: Column) -> Column:
-    ordered = F.array_sort(matches)
-    return F.filter(ordered, lambda m, i: (i == 0) | (F.get(ordered, i - 1)["start"] != m["start"]) | (F.get(ordered, i - 1)["end"] != m["end"]))
+    def first(ordered: Column) -> Column:
+        before = lambda i: F.get(ordered, i - 1)
+        return F.filter(ordered, lambda m, i: (i == 0) | (before(i)["start"] != m["start"]) | (before(i)["end"] != m["end"]))
+
+    return let(F.array_sort(matches), first)
 
 
 def redact(text: Column, matches: Column) -> Column:

@@ -40,7 +40,7 @@ def test_stages_and_gaps(spark):
 
 
 @needs_files
-def test_encoding_equals_the_reference_library(spark):
+def test_encoding_equals_that_of_tiktoken(spark):
     import tiktoken
 
     path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
