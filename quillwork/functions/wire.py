@@ -143,3 +143,33 @@ def frame_sizes(ids: Column, done: Column, reason: Column) -> dict[str, Column]:
         "protobuf": 4 + pb_ids + 2 * tail + pb_why,
         "protobuf_always_done": 4 + pb_ids + 2 + pb_why,
     }
+
+
+TOOL_CALL = "struct<name:string,arguments_json:string,id:string>"
+
+
+def tool_call_msgpack_hex(call: Column) -> Column:
+    """A tool call as a map: arguments_json always, name and id where there are any."""
+    extra = [(n, call[n]) for n in ("name", "id")]
+    n = 1 + sum(F.when(c.isNotNull(), 1).otherwise(0) for _, c in extra)
+    pair = lambda k, c: F.concat(msgpack_str_hex(F.lit(k)), msgpack_str_hex(c))
+    parts = [pair("arguments_json", F.coalesce(call["arguments_json"], F.lit("")))] + [F.when(c.isNull(), "").otherwise(pair(k, c)) for k, c in extra]
+    return F.concat(hex_byte(n + 0x80), *parts)
+
+
+def msgpack_frame_with_calls_hex(ids: Column, done: Column, reason: Column, calls: Column) -> Column:
+    """A frame whose last entry lists its tool calls, if it has any (fifteen at most)."""
+    plain = msgpack_frame_hex(ids, done, reason)
+    listed = F.concat(msgpack_str_hex(F.lit("tool_calls")), hex_byte(F.size(calls) + 0x90), F.array_join(F.transform(calls, tool_call_msgpack_hex), ""))
+    more = F.concat(hex_byte(F.when(reason.isNull(), 2).otherwise(3) + 0x81), F.substring(plain, 3, 2**31 - 1), listed)
+    return F.when(F.coalesce(F.size(calls), F.lit(0)) > 0, more).otherwise(plain)
+
+
+def tool_call_protobuf_hex(call: Column) -> Column:
+    """A tool call as field 4: 1 name, 2 arguments, 3 id; absent ones are left out."""
+
+    def field(tag: str, c: Column) -> Column:
+        return F.when(c.isNull(), "").otherwise(F.concat(F.lit(tag), varint_hex(F.octet_length(c)), F.hex(c)))
+
+    body = F.concat(field("0A", call["name"]), field("12", F.coalesce(call["arguments_json"], F.lit(""))), field("1A", call["id"]))
+    return F.concat(F.lit("22"), varint_hex(F.length(body) / 2), body)

@@ -95,3 +95,22 @@ def load_results(spark, path: str) -> DataFrame:
     docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     docs = docs.withColumn("file", F.col("_metadata.file_path")).filter((F.col("schema_version") == 1) & F.col("rows").isNotNull())
     return docs.select("file", "methodology.engine", "methodology.language", "methodology.fingerprint", F.explode("rows").alias("r")).select("file", "engine", "language", "fingerprint", "r.*")
+
+
+def crossover(rows: DataFrame) -> DataFrame:
+    """(path, encoding, wins, losses): sizes at which an encoding is the smallest of rows(path, size, encoding, wire_bytes), and is over a fifth above that."""
+    best = rows.groupBy("path", "size").agg(F.min(F.struct("wire_bytes", "encoding")).alias("b"))
+    joined = rows.join(best, ["path", "size"])
+    sizes = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("size"))))
+    return joined.groupBy("path", "encoding").agg(sizes(F.col("encoding") == F.col("b.encoding")).alias("wins"), sizes(F.col("wire_bytes") > F.col("b.wire_bytes") * 1.2).alias("losses"))
+
+
+def throughput(rows: DataFrame) -> DataFrame:
+    """(language, median_ms, p99_ms, tokens_per_sec) from rows(language, tokens, ms), one row a repetition."""
+    out = rows.groupBy("language").agg(F.median("ms").alias("median_ms"), F.percentile("ms", 0.99).alias("p99_ms"), F.max("tokens").alias("_n"))
+    return out.withColumn("tokens_per_sec", F.col("_n") / F.col("median_ms") * 1000).drop("_n")
+
+
+def not_applicable(rows: DataFrame) -> DataFrame:
+    """rows(server_knows_formats, format, ...) with applicable: a server that ignores the format answers JSON only."""
+    return rows.withColumn("applicable", F.col("server_knows_formats") | (F.col("format") == "json"))
