@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwork.llm.words import PLAIN, ascii_lower
+from quillwork.llm.words import MARKS, ascii_lower, between
 from quillwork.plans.materialize import broadcast_if_small, materialize
 
 WIDTH = 10
@@ -33,7 +33,7 @@ ANCHORS = 2
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(PLAIN), 0), F.array().cast("array<string>"))
+    return F.coalesce(between(ascii_lower(text), MARKS), F.array().cast("array<string>"))
 
 
 def item_words(items: DataFrame) -> DataFrame:

@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 SPACED = r"[^\x20\x09-\x0D]+"
 #: Runs of ASCII letters and digits and of everything beyond ASCII.
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between the words of either kind.
+SPACES = r"[\x20\x09-\x0D]+"
+MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z, nothing else (lower() also maps letters beyond ASCII)."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z to a-z, nothing else; lower(), which is faster, also maps letters beyond ASCII, so it serves texts without any."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def between(text: Column, marks: str) -> Column:
+    """Words between runs of marks; cutting takes less than half the time of extracting."""
+    return F.array_remove(F.split(text, marks, -1), "")
 
 
 def spaced_count(text: Column) -> Column:
     """Number of SPACED words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(SPACED)), F.lit(0)).cast("long")
+    return F.coalesce(F.array_size(between(text, SPACES)), F.lit(0)).cast("long")
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
