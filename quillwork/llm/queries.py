@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from quillwork.llm import chat, decontaminate, jaccard, mixing, quality, sharding, suffixes, topk, toxicity, warc
 from quillwork.plans.spread import spread
+from quillwork.plans.streams import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read(spark, sf_dir, name)
     return spread(df) if name in ("documents", "pages") else df
 
 
