@@ -12,11 +12,10 @@ training documents turns that into a score.
 Training uses at most ``sample_rows`` labelled documents of at most
 ``sample_chars`` characters, near copies once (by their smallest hash of three
 words).  Words are typical of a class by a likelihood-ratio test on the numbers of
-documents with them, which must exceed twice the logarithm of the number of words
-tested.  Without any toxic example the score is 0.  Every text is
-scored whole; null, empty and blank texts have no window and get a score too.
-Window results are kept per worker in a table of bounded size, as most windows
-recur; that changes speed only.
+documents with them, at a bounded share of false discoveries.  Without any toxic
+example the score is 0.  Every text is scored whole; null, empty and blank texts
+have no window and get a score too.  Window results are kept per worker in a table
+of bounded size, as most windows recur; that changes speed only.
 """
 
 from __future__ import annotations
@@ -40,6 +39,8 @@ FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 SAMPLE_ROWS, SAMPLE_CHARS = 9_000, 20_000
 WINDOW_WORDS = 1
 DICT_BYTES = 4096
+#: Largest expected share of words taken as typical by chance.
+FALSE_SHARE = 0.05
 PAD = b"~" * 48
 CACHE = 250_000
 UPPER_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -78,9 +79,10 @@ def typical(examples: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     if not sizes[1] or not sizes[0]:
         return b"", b""
     tests = {w: _test(a, counts[0][w], sizes[1], sizes[0]) for w, a in counts[1].items()}
-    # The more words are tested, the larger a statistic comes about by chance.
-    least = 2 * math.log(len(tests))
-    toxic = sorted((w for w, t in tests.items() if t > least), key=lambda w: (tests[w], w))
+    # As many words are tested, some statistics are large by chance: Benjamini and Hochberg's step-up rule bounds their share.
+    ranked = sorted(tests.values(), reverse=True)
+    least = min((t for k, t in enumerate(ranked, 1) if math.erfc(math.sqrt(t / 2)) / 2 <= FALSE_SHARE * k / len(ranked)), default=math.inf)
+    toxic = sorted((w for w, t in tests.items() if t >= least), key=lambda w: (tests[w], w))
     chosen = set(toxic)
     ordinary = sorted((w for w in counts[0] if w not in chosen), key=lambda w: (counts[0][w], w))
     cut = lambda ws: (b" " + b"  ".join(ws) + b" ")[-DICT_BYTES + len(PAD) :] + PAD
