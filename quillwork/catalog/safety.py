@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillwork.operators import conversations as C
 from quillwork.operators.safety import prefilter, sanitize
 from quillwork.operators.safety import rules as R
+from quillwork.plans.materialize import broadcast_if_small
 from quillwork.plans.spread import spread
 from quillwork.plans.streams import read
 
@@ -125,7 +126,8 @@ def tool_description_scan(spark, sf_dir):
 
 
 def _tools(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").join(F.broadcast(read(spark, sf_dir, "part").filter("p_partkey <= 2000")), F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("server"), F.col("p_brand").alias("name"))
+    part = broadcast_if_small(read(spark, sf_dir, "part").select("p_partkey", "p_brand"))
+    return read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("server"), F.col("p_brand").alias("name"))
 
 
 def tool_collisions(spark, sf_dir):
