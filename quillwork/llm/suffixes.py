@@ -10,11 +10,15 @@ distribution; symbols it doesn't list keep the parent's probabilities, scaled so
 that all sum to 1.  The root is the smoothed distribution of single symbols.  A
 position is scored by the state of the longest suffix.
 
-All thresholds are probabilities, so the tree's size is bounded by their inverses
-whatever the corpus: at most 1 / HEAD words are known to the workers, at most
-1 / CONTEXT contexts of each length and 1 / JOINT transitions are kept.  All counts
-run over the whole corpus; rarer words are counted and looked up by a shuffle
-join.
+A context needs MIN_COUNT occurrences, as does each symbol it lists, however large the
+corpus is, so the tree grows with it.  Contexts and transitions are tables, keyed by
+64-bit hashes and made level by level; none is held whole by a worker or the driver.
+
+A score is a sum of independent lookups: a state adds its scale wherever its context
+occurs, and a listed transition adds what it differs from that scale and from the
+parent's probability.  Workers know the 1 / HEAD most frequent keys of each level at
+most; a shuffle join adds up all others.  HEAD and the bit maps, which only leave out
+keys that the join could not find, change the cost, not the result.
 
 Null texts are empty: they have the end alone.  Equal rows are separate texts.
 Without training texts all counts are 0 and only the smoothing speaks.
@@ -23,6 +27,7 @@ Without training texts all counts are 0 and only the smoothing speaks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +35,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm.packed import batch_bytes, pieces, span_hashes, word_spans
+from quillwork.llm.packed import batch_bytes, mix64, pieces, span_hashes, word_spans
 from quillwork.llm.words import fold_of
-from quillwork.plans.materialize import materialize
+from quillwork.plans.materialize import broadcast_if_small, discard, materialize, release
 
 FOLDS, HELD_OUT = 5, 1
-HEAD, CONTEXT, JOINT = 1e-6, 2e-5, 1e-6
+HEAD = 1e-6
 MIN_COUNT = 4
+DEPTH = 2
 END_HASH = np.uint64(0)
+START_HASH = np.uint64(0x5DEECE66D1234567)
+#: 64-bit words of a bit map: 16 MB.
+MAP_WORDS = 1 << 21
 
 
 def symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -60,37 +69,126 @@ def training(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pc.invert(batch.column("held_out")))
 
 
-def counted(docs: DataFrame, keys, name: str) -> DataFrame:
-    """(h, c): how often each key that keys(batch) yields occurs over the training rows of docs(held_out, text)."""
+def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of the symbols of which prefix leaves out the last and suffix the first."""
+    return mix64((prefix ^ (prefix >> np.uint64(32))) * np.uint64(0xDA942042E4DD58B5) + suffix)
+
+
+def transitions(hashes: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(position, context, what it makes with the symbol there but for the context's first symbol) for contexts of 1 to depth symbols."""
+    pos = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
+    before = np.empty(len(hashes), np.uint64)
+    before[1:] = hashes[:-1]
+    before[first[:-1]] = START_HASH
+    gram, at = hashes, np.arange(len(hashes))
+    for level in range(1, depth + 1):
+        if level > 1:
+            at = np.flatnonzero(pos >= level - 1)
+            before = gram[at - 1]
+        yield at, before, gram[at]
+        made = np.zeros(len(hashes), np.uint64)
+        made[at] = joined(before, gram[at])
+        gram = made
+
+
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """Has the bit of each key; other keys may share it."""
+    word = F.expr(f"shiftright(key, 6) & {MAP_WORDS - 1}L").alias("w")
+    found = keys.groupBy(word).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63L as int)))").alias("b")).toArrow()
+    out = np.zeros(MAP_WORDS, np.uint64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word = bits[(keys >> np.uint64(6)) & np.uint64(MAP_WORDS - 1)]
+    return (word >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(h, c): how often each symbol occurs over the training rows of docs(held_out, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(training(whole), "text"):
-                values, counts = np.unique(keys(batch), return_counts=True)
+                values, counts = np.unique(symbols(batch)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["h", "c"])
 
     out = docs.filter("not held_out").mapInArrow(run, "h bigint, c bigint")
     return out.groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Tree:
-    """The head of the vocabulary and the states, as sorted arrays; sent to the workers."""
+def counted_transitions(docs: DataFrame, level: int, bits: np.ndarray) -> DataFrame:
+    """(prefix, suffix, c): transitions from contexts of level symbols that occur MIN_COUNT times at least.
+
+    bits has the contexts and suffixes that occur so often themselves.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(training(whole), "text"):
+                *_, (_, prefix, suffix) = transitions(*symbols(batch), level)
+                use = in_map(shared.value, prefix) & in_map(shared.value, suffix)
+                prefix, suffix = prefix[use], suffix[use]
+                _, at, counts = np.unique(joined(prefix, suffix), return_index=True, return_counts=True)
+                columns = prefix[at].view(np.int64), suffix[at].view(np.int64), counts
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["prefix", "suffix", "c"])
+
+    out = docs.filter("not held_out").mapInArrow(run, "prefix bigint, suffix bigint, c bigint")
+    return out.groupBy("prefix", "suffix").agg(F.sum("c").alias("c")).filter(F.col("c") >= MIN_COUNT)
 
-    def __init__(self, head: np.ndarray, counts: np.ndarray, total: int, types: int) -> None:
-        order = np.argsort(head)
-        self.head, self.counts = head[order], counts[order].astype(np.float64)
+
+def keyed(found: DataFrame) -> DataFrame:
+    """found(prefix, suffix, ...) with the key they make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, suffix = (batch.column(x).to_numpy().view(np.uint64) for x in ("prefix", "suffix"))
+            key = pa.array(joined(prefix, suffix).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, *batch.columns], names=["key", *batch.schema.names])
+
+    return found.mapInArrow(run, "key bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema))
+
+
+def grow(found: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """States (key, scale) among the contexts of found(prefix, suffix, c), and its transitions (key, prefix, suffix, c, lp, v).
+
+    model(key, c, lp): the contexts and suffixes, how often they occur and log10 of the last symbol's
+    probability after the others.  lp is the same one level deeper, v what a lookup adds.
+    """
+    model = broadcast_if_small(model)
+    known = materialize(found.join(model.select(F.col("key").alias("suffix"), F.col("lp").alias("lq")), "suffix"), "lm-known")
+    q = F.pow(F.lit(10.0), "lq")
+    sums = known.groupBy("prefix").agg(
+        F.count("*").alias("kinds"), F.sum("c").alias("listed"), F.sum(q).alias("listed_q"), F.sum(F.col("c") * F.log(F.col("c") / q)).alias("gain")
+    )
+    sums = sums.join(model.select(F.col("key").alias("prefix"), F.col("c").alias("n")), "prefix")
+    sums = sums.withColumn("rest", F.greatest(F.col("n") - F.col("listed"), F.lit(0))).withColumn("rest_q", F.greatest(1 - F.col("listed_q"), F.lit(1e-9)))
+    gain = F.col("gain") - F.col("listed") * F.log("n") + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / (F.col("n") * F.col("rest_q")))).otherwise(0.0)
+    kept = sums.filter(gain > 0.5 * (F.col("kinds") + 1) * F.log(F.greatest("n", F.lit(2))))
+    sum_p = (F.col("listed") + F.col("kinds") * F.col("listed_q")) / (F.col("n") + F.col("kinds"))
+    kept = materialize(kept.select(F.col("prefix").alias("key"), "n", "kinds", F.log10(F.greatest(1 - sum_p, F.lit(1e-9)) / F.col("rest_q")).alias("scale")), "lm-states")
+    all_ = known.join(broadcast_if_small(kept.select(F.col("key").alias("prefix"), "n", "kinds", "scale")), "prefix", "left")
+    p = F.log10((F.col("c") + F.col("kinds") * q) / (F.col("n") + F.col("kinds")))
+    all_ = all_.select("prefix", "suffix", "c", F.coalesce(p, "lq").alias("lp"), F.coalesce(p - F.col("scale") - F.col("lq"), F.lit(0.0)).alias("v"))
+    out = materialize(keyed(all_), "lm-transitions")
+    discard(known)
+    return kept.select("key", "scale"), out
+
+
+class Head:
+    """The most frequent keys of each level, as sorted arrays, and bit maps of the others; sent to the workers."""
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray, np.ndarray], total: int, types: int) -> None:
+        order = np.argsort(words[0])
+        self.head, self.counts, self.values = (x[order] for x in words)
         self.total = float(total + 0.5 * (types + 1))
-        self.tokens = total
-        self.size = len(head) + 2  # the two more are any rarer word and the start
-        self.rare, self.start = len(head), len(head) + 1
-        self.root = np.append(np.log10((self.counts + 0.5) / self.total) if len(head) else np.zeros(0), [0.0, 0.0])
-        # State 0 is the root.
-        self.parent, self.scale = [0], [0.0]
-        self.one = np.zeros(self.size, np.int64)  # state of a context of one symbol
-        self.pairs, self.pair_states = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.keys, self.values = np.zeros(0, np.int64), np.zeros(0)
+        self.rare = len(self.head)  # any other word
+        self.root = np.append(np.log10((self.counts + 0.5) / self.total), 0.0)
+        self.values = np.append(self.values, 0.0)
+        self.start = 0.0
+        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, values, bit map of other keys
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.head):
@@ -98,146 +196,117 @@ class Tree:
         at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
         return np.where(self.head[at] == hashes, at, self.rare)
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbol before each position and the one before that; start where there is none."""
-        one, two = np.full(len(ids), self.start), np.full(len(ids), self.start)
-        one[1:], two[2:] = ids[:-1], ids[:-2]
-        one[first[:-1]] = self.start
-        two[first[:-1]] = self.start
-        second = first[:-1] + 1
-        two[second[second < len(two)]] = self.start
-        return one, two
+
+class Tree(Head):
+    """With the tables of all levels.  What follows pulls them to the driver, to look at small trees; scores don't use it."""
+
+    states: list[DataFrame]
+    transitions: list[DataFrame]
+    table: DataFrame
+
+    def discard(self) -> None:
+        for t in self.transitions:
+            discard(t)
+
+    @cached_property
+    def _local(self) -> tuple[list[int], list[float], dict, list[int]]:
+        suffix_of, last, found = {}, {}, {}
+        parent, scale, state = [0], [0.0], {}
+        symbol = {int(h): i for i, h in enumerate(self.head.view(np.int64))}
+        for level, (states, steps) in enumerate(zip(self.states, self.transitions)):
+            for key, x in sorted(states.collect()):
+                up = suffix_of.get(key)
+                while up is not None and up not in state:
+                    up = suffix_of.get(up)
+                state[key] = len(parent)
+                parent.append(state.get(up, 0))
+                scale.append(x)
+            if not level:
+                level_one = len(parent)
+            for r in steps.collect():
+                suffix_of[r.key] = r.suffix
+                last[r.key] = last[r.suffix] if level else symbol.get(r.suffix)
+                if r.prefix in state:
+                    found[state[r.prefix], last[r.key]] = r.lp
+        return parent, scale, found, list(range(level_one, len(parent)))
+
+    @property
+    def parent(self) -> list[int]:
+        return self._local[0]
+
+    @property
+    def pairs(self) -> list[int]:
+        """States of more than one symbol."""
+        return self._local[3]
 
     def probability(self, states: np.ndarray, symbols_: np.ndarray) -> np.ndarray:
         """log10 of the probability of each symbol in each state; for rarer words without the root's part."""
-        out, states = np.zeros(len(states)), states.copy()
-        todo = np.arange(len(states))
-        parent, scale = np.asarray(self.parent), np.asarray(self.scale)
-        while len(todo):
-            s, x = states[todo], symbols_[todo]
-            at_root = s == 0
-            done = todo[at_root]
-            out[done] += self.root[symbols_[done]]
-            todo, s, x = todo[~at_root], s[~at_root], x[~at_root]
-            if not len(todo):
-                break
-            key = s * self.size + x
-            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-            found = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-            out[todo[found]] += self.values[at[found]]
-            out[todo[~found]] += scale[s[~found]]
-            states[todo[~found]] = parent[s[~found]]
-            todo = todo[~found]
+        parent, scale, found, _ = self._local
+        out = np.zeros(len(states))
+        for i, (s, x) in enumerate(zip(states.tolist(), symbols_.tolist())):
+            while s and (s, x) not in found:
+                out[i] += scale[s]
+                s = parent[s]
+            out[i] += found[s, x] if s else self.root[x]
         return out
 
-    def states(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """State of the longest suffix for each pair of context symbols."""
-        out = self.one[one]
-        if len(self.pairs):
-            key = two * self.size + one
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            out = np.where(self.pairs[at] == key, self.pair_states[at], out)
-        return out
 
-    def grow(self, contexts: np.ndarray, totals: np.ndarray, parents: np.ndarray, at: np.ndarray, symbols_: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Tests each context and adds those retained; returns the state of each, 0 if not.
-
-        Transitions: index of the context, symbol, count; ordered by context.
-        """
-        if not len(contexts):
-            return np.zeros(0, np.int64)
-        q = 10 ** self.probability(parents[at], symbols_)
-        n = totals[at]
-        kinds = np.bincount(at, minlength=len(contexts)).astype(np.float64)
-        gain = np.bincount(at, counts * np.log(counts / (n * q)), minlength=len(contexts))
-        listed, listed_q = np.bincount(at, counts, minlength=len(contexts)), np.bincount(at, q, minlength=len(contexts))
-        rest, rest_q = np.maximum(totals - listed, 0), np.maximum(1 - listed_q, 1e-9)
-        gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-9) / (totals * rest_q)), 0)
-        kept = (kinds > 0) & (gain > 0.5 * (kinds + 1) * np.log(np.maximum(totals, 2)))
-        state = np.zeros(len(contexts), np.int64)
-        state[kept] = len(self.parent) + np.arange(kept.sum())
-        p = (counts + kinds[at] * q) / (n + kinds[at])
-        sum_p = np.bincount(at, p, minlength=len(contexts))
-        scale = np.log10(np.maximum(1 - sum_p, 1e-9) / rest_q)
-        self.parent.extend(parents[kept].tolist())
-        self.scale.extend(scale[kept].tolist())
-        use = kept[at]
-        keys = np.concatenate([self.keys, state[at[use]] * self.size + symbols_[use]])
-        values = np.concatenate([self.values, np.log10(p[use])])
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        return state
-
-
-def _arrays(counts: DataFrame, least: float, with_end: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of at least `least`; a threshold in proportion to the corpus bounds their number."""
-    found = counts.filter((F.col("c") >= F.lit(float(least))) | F.lit(with_end) & (F.col("h") == 0)).toArrow()
-    return found.column("h").to_numpy().astype(np.int64), found.column("c").to_numpy().astype(np.float64)
-
-
-def learn(docs: DataFrame) -> tuple[Tree, DataFrame, int]:
+def learn(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame, int]:
     """The tree, all word counts (h, c) and the number of training tokens; docs has held_out and text."""
     spark = docs.sparkSession
-    words = materialize(counted(docs, lambda b: symbols(b)[0], "words"), "lm-words")
+    words = materialize(counted(docs), "lm-words")
     total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head, counts = _arrays(words, max(1.0, HEAD * total), with_end=True)
-    tree = Tree(head.view(np.uint64), counts, int(total), int(types))
-    context_least, joint_least = max(MIN_COUNT, CONTEXT * total), max(MIN_COUNT, JOINT * total)
-
-    shared = spark.sparkContext.broadcast(tree)
-    fit = np.append(tree.counts >= context_least, [False, True])
-    if len(tree.head) and tree.head[0] == END_HASH:
-        fit[0] = False  # nothing follows the end
-
-    def pairs(batch: pa.RecordBatch) -> np.ndarray:
-        t = shared.value
-        hashes, first = symbols(batch)
-        ids = t.ids(hashes)
-        one, _ = t.contexts(ids, first)
-        use = fit[one] & (ids != t.rare)
-        return one[use] * t.size + ids[use]
-
-    key, count = _arrays(counted(docs, pairs, "pairs"), joint_least)
-    order = np.argsort(key)
-    key, count = key[order], count[order]
-    context, at = np.unique(key // tree.size, return_inverse=True)
-    n_texts = float(tree.counts[0]) if len(tree.head) and tree.head[0] == END_HASH else 0.0
-    ends = np.append(tree.counts, [0.0, n_texts])
-    states = tree.grow(context, ends[context], np.zeros(len(context), np.int64), at, key % tree.size, count)
-    tree.one[context] = states
-    # Pairs frequent enough to be contexts of two; the pair count is the number of their occurrences before some symbol.
-    long = key[(count >= context_least) & (key % tree.size != (0 if n_texts else -1))]
-    long_count = count[(count >= context_least) & (key % tree.size != (0 if n_texts else -1))]
-    if len(long):
-        shared_two = spark.sparkContext.broadcast((tree, long))
-
-        def triples(batch: pa.RecordBatch) -> np.ndarray:
-            t, wanted = shared_two.value
-            hashes, first = symbols(batch)
-            ids = t.ids(hashes)
-            one, two = t.contexts(ids, first)
-            pair = two * t.size + one
-            where = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
-            use = (wanted[where] == pair) & (ids != t.rare) & (one != t.start)
-            return where[use].astype(np.int64) * t.size + ids[use]
-
-        key, count = _arrays(counted(docs, triples, "triples"), joint_least)
-        order = np.argsort(key)
-        key, count = key[order], count[order]
-        which, at = np.unique(key // tree.size, return_inverse=True)
-        parents = tree.one[long[which] % tree.size]
-        states = tree.grow(long[which], long_count[which], parents, at, key % tree.size, count)
-        tree.pairs, tree.pair_states = long[which][states > 0], states[states > 0]
+    n_texts = words.filter("h = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    divisor = total + 0.5 * (types + 1)
+    start = int(START_HASH.view(np.int64))
+    texts = spark.range(1).select(F.lit(start).cast("long").alias("key"), F.lit(n_texts).cast("long").alias("c"), F.lit(0.0).alias("lp"))
+    model = words.filter(F.col("c") >= MIN_COUNT).select(F.col("h").alias("key"), "c", F.log10((F.col("c") + 0.5) / F.lit(divisor)).alias("lp")).unionAll(texts)
+    made = words.select(F.col("h").alias("key"), "c", F.lit(0.0).alias("v"))
+    states, steps, values, start_scale = [], [], [], 0.0
+    for level in range(1, depth + 1):
+        found = materialize(counted_transitions(docs, level, bit_map(model)), "lm-counts")
+        release(spark)
+        kept, out = grow(found, model)
+        discard(found)
+        release(spark)
+        if level == 1:
+            start_scale = sum(r.scale for r in kept.filter(F.col("key") == start).collect())
+        # A state adds its scale wherever its context occurs.
+        values.append(made.join(kept, "key", "left").select(F.lit(level).alias("level"), "key", "c", (F.col("v") + F.coalesce("scale", F.lit(0.0))).alias("v")))
+        states.append(kept)
+        steps.append(out)
+        model, made = out.select("key", "c", "lp"), out.select("key", "c", "v")
+    values.append(made.select(F.lit(depth + 1).alias("level"), "key", "c", "v"))
+    values = reduce(DataFrame.unionAll, [v if i == 0 else v.filter("v != 0") for i, v in enumerate(values)])
+    table = materialize(values, "lm-values")
+    release(spark)
+
+    is_head = (F.col("c") >= F.lit(max(1.0, HEAD * total))) | ((F.col("level") == 1) & (F.col("key") == 0))
+    table = table.withColumn("head", is_head)
+    arrays = lambda level: [c.to_numpy() for c in table.filter(F.col("head") & (F.col("level") == level)).select("key", "c", "v").toArrow().columns]
+    key, c, v = arrays(1)
+    tree = Tree((key.astype(np.int64).view(np.uint64), c.astype(np.float64), v.astype(np.float64)), int(total), int(types))
+    tree.start = start_scale
+    for level in range(2, depth + 2):
+        key, _, v = arrays(level)
+        order = np.argsort(key.astype(np.int64).view(np.uint64))
+        rest = bit_map(table.filter(~F.col("head") & (F.col("level") == level)))
+        tree.grams.append((key.astype(np.int64).view(np.uint64)[order], v.astype(np.float64)[order], rest))
+    tree.states, tree.transitions, tree.table = states, steps, table
     return tree, words, int(total)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     spark = docs.sparkSession
     told = docs.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    tree, words, total = learn(told)
-    shared = spark.sparkContext.broadcast(tree)
-    divisor = float(np.log10(tree.total)) if tree.total else 0.0
+    tree, _, total = learn(told, depth)
+    tree.discard()
+    release(spark)
+    head = Head((tree.head, tree.counts, tree.values[:-1]), 0, 0)
+    head.root, head.start, head.grams = tree.root, tree.start, tree.grams
+    shared = spark.sparkContext.broadcast(head)
+    unknown = float(np.log10(0.5) - np.log10(tree.total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -245,17 +314,28 @@ def score(docs: DataFrame) -> DataFrame:
             for batch in pieces(whole, "text"):
                 hashes, first = symbols(batch)
                 ids = t.ids(hashes)
-                one, two = t.contexts(ids, first)
-                p = t.probability(t.states(one, two), ids)
-                base = t.root[ids]
                 rare = ids == t.rare
-                p[rare] -= divisor
-                base = np.where(rare, -divisor, base)
-                at = first[:-1]
+                base = np.where(rare, unknown, t.root[ids])
+                p = base + t.values[ids]
+                p[first[:-1]] += t.start
                 n = np.diff(first)
-                n_rare = np.add.reduceat(rare.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)), pa.array(hashes[rare].view(np.int64)))
-                total_of = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0)  # noqa: B023, E731
+                row = np.repeat(np.arange(len(n)), n)
+                tails = [(row[rare], hashes[rare])]
+                for (keys, values, rest), (at, prefix, suffix) in zip(t.grams, transitions(hashes, first, len(t.grams))):
+                    gram = joined(prefix, suffix)
+                    other = in_map(rest, gram)
+                    if len(keys):
+                        where = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+                        is_head = keys[where] == gram
+                        p[at[is_head]] += values[where[is_head]]
+                        other &= ~is_head
+                    tails.append((row[at[other]], gram[other]))
+                tail_rows, tail = (np.concatenate(x) for x in zip(*tails))
+                tail = tail[np.argsort(tail_rows, kind="stable")]
+                ends = np.cumsum(np.bincount(tail_rows, minlength=len(n)))
+                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tail.view(np.int64)))
+                n_rare = np.bincount(row[rare], minlength=len(n))
+                total_of = lambda x: np.add.reduceat(x, first[:-1]) if len(n) else np.zeros(0)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(n - n_rare), pa.array(total_of(base)), pa.array(total_of(p)), tail],
                     names=["doc_id", "held_out", "n", "known", "base", "p", "tail"],
@@ -264,8 +344,13 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     local = told.mapInArrow(run, f"doc_id {kind}, held_out boolean, n bigint, known bigint, base double, p double, tail array<bigint>")
     local = materialize(local.withColumn("uid", F.monotonically_increasing_id()), "lm-local")
-    rest = local.select("uid", F.explode("tail").alias("h")).join(words, "h", "left")
-    rest = rest.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("more"), F.count("c").alias("known_more"))
+    release(spark)
+    is_word = F.col("level") == 1
+    others = tree.table.filter("not head").select(
+        F.col("key").alias("h"), "v", F.when(is_word, F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5))).otherwise(0.0).alias("more"), F.when(is_word, 1).otherwise(0).alias("word")
+    )
+    rest = local.select("uid", F.explode("tail").alias("h")).join(others, "h")
+    rest = rest.groupBy("uid").agg(F.sum("more").alias("more"), F.sum(F.col("more") + F.col("v")).alias("p_more"), F.sum("word").alias("known_more"))
     return local.drop("tail").join(rest, "uid", "left").select(
         "doc_id",
         "held_out",
@@ -273,5 +358,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("p") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col("p") + F.coalesce("p_more", F.lit(0.0))).alias("score"),
     )
