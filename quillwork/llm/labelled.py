@@ -7,27 +7,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.words import fold_of
+from quillwork.plans.materialize import discard, materialize
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, chars: int) -> list[tuple[str, int]]:
-    """At most `rows` (text, label) of documents outside the held-out fold, in the order of a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, chars: int, line_cost: int = 0) -> list[tuple[str, int]]:
+    """(text, label) of documents outside the held-out fold, in the order of a hash of the id, whole texts of any length.
 
-    Only documents of at most `chars` characters are taken: rows * chars bounds what
-    reaches the driver.  Rows without id, text or label are left out; a document
-    that is labelled in several ways is too.
+    The sample ends after ``rows`` documents, or before the one with which it would
+    exceed ``chars`` characters (each line counting ``line_cost`` more); the first is
+    always taken.  That bounds what reaches the driver.  Labels are joined with the
+    documents before anything is bounded, so only documents that are there, have a
+    text and are labelled in one way count.
     """
     told = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
     told = told.agg(F.min(label).alias("_y"), F.max(label).alias("_z")).filter("_y = _z").select("doc_id", "_y")
-    mine = docs.filter(F.col("text").isNotNull() & (F.length("text") <= chars) & (fold_of(F.col("doc_id"), folds) != held_out))
-    picked = (
-        told.filter(fold_of(F.col("doc_id"), folds) != held_out)
-        .withColumn("_h", F.xxhash64(F.lit(7), "doc_id"))
-        .orderBy("_h", "doc_id")
-        .limit(2 * rows)
-    )
-    joined = mine.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * rows rows of two numbers
-    found = joined.orderBy("_h", "doc_id", "text").limit(rows).select("text", "_y").collect()
-    return [(r[0], int(r[1])) for r in found]
+    cost = F.length("text").cast("long")
+    if line_cost:
+        cost = cost + line_cost * (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    mine = docs.filter(F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out)).withColumn("_cost", cost)
+    order = ["_h", "doc_id", "_cost"]
+    found = mine.select("doc_id", "_cost").join(told, "doc_id").withColumn("_h", F.xxhash64(F.lit(7), "doc_id"))
+    found = materialize(found, "labelled")
+    share = (1.1 * rows + 200) / max(found.count(), 1)
+    # The sample's share of the hashes and some more, so that tasks don't send a full sample each.
+    near = found if share >= 1 else found.filter(F.col("_h") <= int((share - 0.5) * 2**64))
+    picked = near.orderBy(*order).limit(rows).select(*order).collect()
+    ends = np.cumsum([r["_cost"] for r in picked])
+    n = max(int(np.searchsorted(ends, chars, side="right")), min(1, len(picked)))
+    if not n:
+        return []
+    last = F.struct(*[F.lit(picked[n - 1][c]).alias(c) for c in order])
+    wanted = near.filter(F.struct(*order) <= last).distinct()  # at most `rows` rows of numbers
+    texts = mine.select("doc_id", "_cost", "text").join(F.broadcast(wanted), ["doc_id", "_cost"])
+    out = texts.orderBy(*order, "text").limit(n).select("text", "_y").collect()
+    discard(found)
+    return [(r[0], int(r[1])) for r in out]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
