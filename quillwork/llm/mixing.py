@@ -14,14 +14,16 @@ order of (cap / weight): those with the lowest ratios are the capped ones.
 
 Null and empty texts have size 0 and are never taken.  A null source is a source
 of its own, the last.  Documents without an id are keyed by their text.  Equal
-rows are separate documents.  An empty table gives no rows.
+rows are separate documents, counted together until they are returned, so that no
+task holds a large group of them.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.llm.rows import expanded
 from quillwork.llm.words import spaced_count
 from quillwork.plans.materialize import broadcast_if_small, materialize
 from quillwork.plans.ranks import bucket_of, running
@@ -58,30 +60,23 @@ def shares(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
     return done.select("source", "source_size", F.col("weight").cast("int").alias("weight"), target.alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    max_epochs: int = MAX_EPOCHS,
-    seed: str = SEED,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    texts: bool = False,
-) -> DataFrame:
-    """A row a document: doc_id, source, size, source_size, target, taken, epochs and the columns behind them.
+#: What orders the documents of a source: the hash-random key first, the others for rows whose keys are equal.
+ORDER = ["key", "doc_id", "size", "tie"]
 
-    taken counts words over all epochs and adds up to each source's rounded target
-    exactly, as the document that the cut falls in counts in part.  texts keeps the
-    columns of docs, for compose().
-    """
+
+def order_columns(seed: str) -> list[Column]:
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))).cast("binary"))
-    sized = docs.select(
-        "doc_id",
-        "source",
-        *([F.struct(*docs.columns).alias("_doc")] if texts else []),
-        spaced_count(F.col("text")).alias("size"),
-        key.alias("key"),
-    )
-    sized = materialize(sized, "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    return [key.alias("key"), F.col("doc_id"), spaced_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")]
+
+
+def planned(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str, rows_per_bucket: int) -> DataFrame:
+    """A row for equal documents of a source: copies of them, before (words of earlier ones), and the source's epochs and rest.
+
+    rest: words that the mix takes beyond whole epochs.  Texts don't move.
+    """
+    alike = docs.select("source", *order_columns(seed)).groupBy("source", *ORDER).agg(F.count("*").alias("copies"))
+    alike = materialize(alike, "mix-sizes")
+    totals = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("_rows"))
     totals = materialize(totals, "mix-sources")
     plan = shares(totals.select("source", "source_size"), weights, max_epochs).join(
         totals.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))
@@ -89,27 +84,65 @@ def mix(
     plan = materialize(plan.drop("source"), "mix-shares")
     unit = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     # One row a source, counted before it is broadcast.
-    joined = sized.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_s"))).withColumn(
+    joined = alike.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_s"))).withColumn(
         "_bucket", bucket_of(unit, F.col("_rows"), rows_per_bucket)
     )
-    summed = running(joined, ["source"], "_bucket", [F.col("key"), F.col("doc_id"), F.col("size")], F.col("size"), "before")
+    summed = running(joined, ["source"], "_bucket", [F.col(c) for c in ORDER], F.col("size") * F.col("copies"), "before")
     budget = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    out = summed.withColumns({"epochs": whole, "part": part.cast("long")})
-    out = out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
-    kept = ["doc_id", "source", "size", "source_size", "target", "taken", "weight", "epochs", "part", "key"]
-    return out.select(*kept, *(["_doc"] if texts else []))
+    return summed.withColumns({"epochs": whole, "rest": budget - whole * F.col("source_size")})
 
 
-def compose(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document of mix(texts=True) as often as it is taken, whole.
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    seed: str = SEED,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """A row a document: doc_id, source, size, source_size, target, taken, epochs and the columns behind them.
+
+    taken counts words over all epochs and adds up to each source's rounded target
+    exactly, as the document that the cut falls in counts in part.
+    """
+    each = expanded(planned(docs, weights, max_epochs, seed, rows_per_bucket), F.col("copies"), "_nth")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("_nth") * F.col("size")))
+    out = each.withColumn("part", part.cast("long")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "weight", "epochs", "part", "key")
+
+
+def compose(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    seed: str = SEED,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """The mix itself: each document as often as mix() takes it, whole.
 
     A document that is taken in part is there whole: documents are atomic here, so a
     source exceeds its target by less than one document.  Documents without words
-    have nothing to weigh and stay once.
+    have nothing to weigh and stay once.  All that a row needs to know is where its
+    source's cut lies, a row a source, so texts are not shuffled.
     """
-    times = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0))
-    copies = mixed.withColumn("_times", times.cast("int")).filter("_times > 0")
-    return copies.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
+    rows = planned(docs, weights, max_epochs, seed, rows_per_bucket)
+    # Of equal documents, those that begin before the cut.
+    begun = F.least(F.col("copies"), F.ceil((F.col("rest") - F.col("before")) / F.col("size")).cast("long"))
+    begun = F.when((F.col("size") > 0) & (F.col("rest") > F.col("before")), begun)
+    cut = F.max(F.when(begun.isNotNull(), F.struct(*ORDER, begun.alias("begun"), "copies")))
+    cuts = rows.groupBy("source").agg(F.max("epochs").alias("_epochs"), cut.alias("_cut"))
+    cuts = materialize(cuts.withColumnRenamed("source", "_s"), "mix-cuts")
+    placed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("source").alias("_source"), F.struct(*order_columns(seed)).alias("_at"))
+    # A row a source, counted before it is broadcast.
+    told = placed.join(broadcast_if_small(cuts), F.col("_source").eqNullSafe(F.col("_s")))
+    last = F.struct(*[F.col(f"_cut.{c}").alias(c) for c in ORDER])
+    is_last = F.col("_cut").isNotNull() & F.col("_at").eqNullSafe(last)
+    split = F.col("_cut.begun") < F.col("_cut.copies")
+    more = F.when(F.col("_cut").isNotNull() & ((F.col("_at") < last) | (is_last & ~split)), 1).otherwise(0)
+    times = F.when(F.col("_at.size") == 0, 1).otherwise(F.col("_epochs") + more)
+    out = told.withColumn("_times", times.cast("int")).filter("_times > 0")
+    out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
+    if cuts.filter(split).limit(1).count():  # equal documents on both sides of a cut
+        one = told.filter(is_last & split).groupBy("_source").agg(F.first("_doc").alias("_doc"), F.first("_cut.begun").alias("_begun"))
+        out = out.unionByName(expanded(one, F.col("_begun"), "_n").select("_doc.*"))
+    return out

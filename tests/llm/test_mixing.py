@@ -59,7 +59,7 @@ def test_hot_source_and_equal_rows(documents):
 
 def test_empty(documents):
     assert mixing.mix(documents([])).collect() == []
-    assert mixing.compose(mixing.mix(documents([]), texts=True)).collect() == []
+    assert mixing.compose(documents([])).collect() == []
 
 
 def test_no_words_at_all(documents):
@@ -67,10 +67,24 @@ def test_no_words_at_all(documents):
     assert [(r.taken, r.target) for r in got] == [(0, 0.0), (0, 0.0)]
 
 
-def test_compose_keeps_columns_and_counts(documents, odd_texts):
-    docs = documents(odd_texts)
-    mixed = mixing.mix(docs, texts=True)
-    out = mixing.compose(mixed)
+def composed(rows, documents, **how):
+    docs = documents(rows)
+    mixed = mixing.mix(docs, **how)
+    out = mixing.compose(docs, **how)
     assert out.columns == docs.columns
-    by = mixed.withColumn("times", F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + (F.col("part") > 0).cast("int")))
-    assert out.count() == by.agg(F.sum("times")).first()[0]
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + (F.col("part") > 0).cast("int"))
+    want = mixed.withColumn("times", times).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("n")).filter("n > 0").collect()
+    got = out.withColumn("size", mixing.spaced_count(F.col("text"))).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_compose_keeps_columns_and_counts(documents, odd_texts):
+    composed(odd_texts, documents)
+
+
+def test_compose_cuts_where_the_mix_does(documents):
+    composed([(i, "a b c " * (i % 7), "abcdefg"[min(6, i % 11)]) for i in range(400)] + [(1000, "one", "z")], documents, rows_per_bucket=8)
+
+
+def test_compose_splits_equal_rows(documents):
+    composed([(5, "same words here", "hot")] * 60 + [(i, "x y", f"s{i}") for i in range(30)] + [(i, "y " * 9, "t") for i in range(30)], documents)
