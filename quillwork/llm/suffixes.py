@@ -1,38 +1,52 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols are words, A-Z lowered, and one end a text.  Contexts are the one or two
-symbols before a position, the start of the text counting as a symbol.  A context
-becomes a state of the tree if it is frequent enough and a divergence test retains
-it: the log-likelihood that its next-symbol distribution gains over that of its
-longest retained suffix must exceed what its parameters cost (half a logarithm of
-its count each).  A state's distribution mixes its counts with its parent's
-distribution; symbols it doesn't list keep the parent's probabilities, scaled so
-that all sum to 1.  The root is the smoothed distribution of single symbols.  A
-position is scored by the state of the longest suffix.
-
-A context needs MIN_COUNT occurrences, as does each symbol it lists, however large the
-corpus is, so the tree grows with it.  Contexts and transitions are tables, keyed by
-64-bit hashes and made level by level; none is held whole by a worker or the driver.
+Symbols are words, A-Z lowered, and one end a text; the start of a text is a symbol
+too, before the first.  Contexts are the symbols before a position, one of them or
+more.  The tree grows from its root level by level: a context of k symbols is examined
+if it occurs MIN_COUNT times at least, its suffix of k - 1 symbols is a state, and its
+first k - 1 symbols were examined, so that its own count is known.  It becomes a state if a divergence test retains it: the log-likelihood that its
+next-symbol distribution gains over that of its longest retained suffix must exceed
+what its parameters cost (half a logarithm of its count each).  Growth ends with the
+first level that retains nothing, so contexts are as long as the corpus asks for.  (A
+context with one sure successor gains nothing by more symbols, so growth ends inside
+passages that many texts share.)
+
+A state lists the symbols that follow it MIN_COUNT times at least.  Its distribution
+mixes their counts with its parent's distribution; symbols it doesn't list keep the
+parent's probabilities, scaled so that all sum to 1.  The root is the smoothed
+distribution of single symbols.  A position is scored by the state of the longest
+suffix.
+
+MIN_COUNT is all that bounds the tree, so it grows with the corpus.  Counts are made
+by numpy inside workers: each emits its keys as packed arrays, dealt by ranges of the
+key, and what meets in one part of the key space is summed up there.  States and
+transitions are tables, made level by level; none is held whole by a worker or the
+driver.
 
 A score is a sum of independent lookups: a state adds its scale wherever its context
 occurs, and a listed transition adds what it differs from that scale and from the
-parent's probability.  Workers know the 1 / HEAD most frequent keys of each level at
-most; a shuffle join adds up all others.  HEAD and the bit maps, which only leave out
-keys that the join could not find, change the cost, not the result.
+parent's probability.  Workers hold the values of the most frequent keys, HEAD_KEYS of
+words and of transitions at most; all other lookups are dealt to the parts of the key
+space as packed arrays and their sums come back.  The head, and bit maps that leave
+out keys which no table has, change the cost, not the result.
 
 Null texts are empty: they have the end alone.  Equal rows are separate texts.
-Without training texts all counts are 0 and only the smoothing speaks.
+Without training texts all counts are 0 and only the smoothing speaks.  Other columns
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cached_property, reduce
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm.packed import batch_bytes, mix64, pieces, span_hashes, word_spans
@@ -40,9 +54,13 @@ from quillwork.llm.words import fold_of
 from quillwork.plans.materialize import broadcast_if_small, discard, materialize, release
 
 FOLDS, HELD_OUT = 5, 1
-HEAD = 1e-6
 MIN_COUNT = 4
-DEPTH = 2
+#: Keys that workers hold at most, of words and of transitions, and the share of all tokens a key needs for that.
+HEAD_KEYS, HEAD = (1 << 18, 1 << 20), 1e-9
+#: From this level on a pass over the texts counts as many levels as were counted before it; so few contexts are left by then.
+DEEP = 5
+#: Parts of the key space for each partition of a shuffle.
+PARTS = 4
 END_HASH = np.uint64(0)
 START_HASH = np.uint64(0x5DEECE66D1234567)
 #: 64-bit words of a bit map: 16 MB.
@@ -65,100 +83,160 @@ def symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def training(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch.filter(pc.invert(batch.column("held_out")))
-
-
 def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """Key of the symbols of which prefix leaves out the last and suffix the first."""
     return mix64((prefix ^ (prefix >> np.uint64(32))) * np.uint64(0xDA942042E4DD58B5) + suffix)
 
 
-def transitions(hashes: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(position, context, what it makes with the symbol there but for the context's first symbol) for contexts of 1 to depth symbols."""
-    pos = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
+def climb(hashes: np.ndarray, first: np.ndarray, depth: int, known: Callable, deep: Callable) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(level, position, prefix, suffix, key) of the transitions at each level, up to depth.
+
+    A transition from k symbols is made of two from k - 1 symbols that known(level,
+    keys) leaves, the second from a state, as deep(level, keys) tells.
+    """
     before = np.empty(len(hashes), np.uint64)
     before[1:] = hashes[:-1]
-    before[first[:-1]] = START_HASH
-    gram, at = hashes, np.arange(len(hashes))
+    starts = first[:-1]
+    before[starts] = START_HASH
+    use = known(0, hashes) & known(0, before)
+    at = np.flatnonzero(use)
+    prefix, suffix = before[at], hashes[at]
     for level in range(1, depth + 1):
-        if level > 1:
-            at = np.flatnonzero(pos >= level - 1)
-            before = gram[at - 1]
-        yield at, before, gram[at]
-        made = np.zeros(len(hashes), np.uint64)
-        made[at] = joined(before, gram[at])
-        gram = made
-
-
-def bit_map(keys: DataFrame) -> np.ndarray:
-    """Has the bit of each key; other keys may share it."""
-    word = F.expr(f"shiftright(key, 6) & {MAP_WORDS - 1}L").alias("w")
-    found = keys.groupBy(word).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63L as int)))").alias("b")).toArrow()
-    out = np.zeros(MAP_WORDS, np.uint64)
-    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+        key = joined(prefix, suffix)
+        yield level, at, prefix, suffix, key
+        left = known(level, key)
+        at, key = at[left], key[left]
+        # Neighbours in one text: no transition at a first symbol has one before it there.
+        pair = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
+        if not len(pair):
+            return
+        is_first = np.zeros(len(hashes), bool)
+        is_first[starts] = True
+        pair = pair[~is_first[at[pair]]]
+        pair = pair[deep(level, key[pair])]
+        at, prefix, suffix = at[pair], key[pair - 1], key[pair]
+
+
+class Bits:
+    """Bit maps of listed keys, and of those that are transitions from states; other keys may share a bit."""
+
+    def __init__(self) -> None:
+        self.listed, self.from_state = np.zeros(MAP_WORDS, np.uint64), np.zeros(MAP_WORDS, np.uint64)
+
+    def add(self, keys: DataFrame) -> None:
+        """keys: (key, deep)."""
+        word = F.expr(f"shiftright(key, 6) & {MAP_WORDS - 1}L").alias("w")
+        bit = "shiftleft(1L, cast(key & 63L as int))"
+        found = keys.groupBy(word).agg(F.expr(f"bit_or({bit})").alias("a"), F.expr(f"bit_or(if(deep, {bit}, 0L))").alias("b")).toArrow()
+        at = found.column("w").to_numpy()
+        for bits, name in ((self.listed, "a"), (self.from_state, "b")):
+            bits[at] |= found.column(name).to_numpy().astype(np.int64).view(np.uint64)
+
+    @staticmethod
+    def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        word = bits[(keys >> np.uint64(6)) & np.uint64(MAP_WORDS - 1)]
+        return (word >> (keys & np.uint64(63))) & np.uint64(1) > 0
+
+
+def n_parts(spark: SparkSession) -> int:
+    return PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Packed rows dealt by keys over the shuffle's partitions, each in order."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*order)
+
+
+def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places of its keys)."""
+    part = (keys >> np.uint64(40)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    for k in np.flatnonzero(np.diff(ends)):
+        yield int(k), order[ends[k] : ends[k + 1]]
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    return b"".join(a.tobytes() for a in arrays)
+
+
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += n * np.dtype(k).itemsize
     return out
 
 
-def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    word = bits[(keys >> np.uint64(6)) & np.uint64(MAP_WORDS - 1)]
-    return (word >> (keys & np.uint64(63))) & np.uint64(1) > 0
-
+def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Consecutive rows with equal keys, as (key, rows without the keys)."""
+    rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))))
+    n = len(keys)
+    for key, same in groupby(rows, key=lambda r: r[:n]):
+        yield key, (r[n:] for r in same)
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(h, c): how often each symbol occurs over the training rows of docs(held_out, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(training(whole), "text"):
-                values, counts = np.unique(symbols(batch)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["h", "c"])
-
-    out = docs.filter("not held_out").mapInArrow(run, "h bigint, c bigint")
-    return out.groupBy("h").agg(F.sum("c").alias("c"))
 
+def counted(docs: DataFrame, levels: range, bits: Bits | None) -> DataFrame:
+    """(level, key, prefix, suffix, c) of the transitions from contexts of so many symbols that occur MIN_COUNT times at least.
 
-def counted_transitions(docs: DataFrame, level: int, bits: np.ndarray) -> DataFrame:
-    """(prefix, suffix, c): transitions from contexts of level symbols that occur MIN_COUNT times at least.
-
-    bits has the contexts and suffixes that occur so often themselves.
+    Level 0 stands for single symbols, all of them, with the symbol as prefix.  Without
+    bits, all transitions are counted; bits know the levels below the first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    parts, shared = n_parts(spark), bits and spark.sparkContext.broadcast(bits)
+    least, top, low = MIN_COUNT, levels[-1], max(levels[0], 1)
+
+    def emit(level: int, prefix: np.ndarray, suffix: np.ndarray, key: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        names = ["level", "part", "data"]
+        rows = [(level, part, packed(prefix[i], suffix[i], counts[i].astype(np.uint32))) for part, i in by_part(key, parts)]
+        types = [pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yes = lambda keys: np.ones(len(keys), bool)
+        known = lambda level, keys: yes(keys) if not bits or level >= low else Bits.has(shared.value.listed, keys)
+        deep = lambda level, keys: yes(keys) if not bits or level >= low else Bits.has(shared.value.from_state, keys)
         for whole in batches:
-            for batch in pieces(training(whole), "text"):
-                *_, (_, prefix, suffix) = transitions(*symbols(batch), level)
-                use = in_map(shared.value, prefix) & in_map(shared.value, suffix)
-                prefix, suffix = prefix[use], suffix[use]
-                _, at, counts = np.unique(joined(prefix, suffix), return_index=True, return_counts=True)
-                columns = prefix[at].view(np.int64), suffix[at].view(np.int64), counts
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["prefix", "suffix", "c"])
-
-    out = docs.filter("not held_out").mapInArrow(run, "prefix bigint, suffix bigint, c bigint")
-    return out.groupBy("prefix", "suffix").agg(F.sum("c").alias("c")).filter(F.col("c") >= MIN_COUNT)
-
-
-def keyed(found: DataFrame) -> DataFrame:
-    """found(prefix, suffix, ...) with the key they make."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix, suffix = (batch.column(x).to_numpy().view(np.uint64) for x in ("prefix", "suffix"))
-            key = pa.array(joined(prefix, suffix).view(np.int64))
-            yield pa.RecordBatch.from_arrays([key, *batch.columns], names=["key", *batch.schema.names])
-
-    return found.mapInArrow(run, "key bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema))
+            training = whole.filter(pc.invert(whole.column("held_out")))
+            for batch in pieces(training, "text", 8 << 20):
+                hashes, first = symbols(batch)
+                if 0 in levels:
+                    values, counts = np.unique(hashes, return_counts=True)
+                    yield emit(0, values, values, joined(values, values), counts)
+                for level, _, prefix, suffix, key in climb(hashes, first, top, known, deep):
+                    if level in levels and len(key):
+                        key, at, counts = np.unique(key, return_index=True, return_counts=True)
+                        yield emit(level, prefix[at], suffix[at], key, counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (level, _), rows in stretches(batches, ["level", "part"]):
+            prefix, suffix, counts = (np.concatenate(x) for x in zip(*(unpacked(r[0], np.uint64, np.uint64, np.uint32) for r in rows)))
+            key = joined(prefix, suffix)
+            order = np.argsort(key)
+            begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            total = np.add.reduceat(counts[order].astype(np.int64), begin)
+            at = order[begin]
+            if level:
+                often = total >= least
+                at, total = at[often], total[often]
+            columns = [pa.array(np.full(len(at), level, np.int32)), *(pa.array(x[at].view(np.int64)) for x in (key, prefix, suffix)), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, names=["level", "key", "prefix", "suffix", "c"])
+
+    rows = docs.filter("not held_out").mapInArrow(count, "level int, part int, data binary")
+    return dealt(rows, ["level", "part"], ["level", "part"]).mapInArrow(add, "level int, key bigint, prefix bigint, suffix bigint, c bigint")
 
 
 def grow(found: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """States (key, scale) among the contexts of found(prefix, suffix, c), and its transitions (key, prefix, suffix, c, lp, v).
+    """States (key, n, kinds, scale) among the contexts of found(key, prefix, suffix, c), and its transitions (key, prefix, suffix, c, lp, v, deep).
 
-    model(key, c, lp): the contexts and suffixes, how often they occur and log10 of the last symbol's
-    probability after the others.  lp is the same one level deeper, v what a lookup adds.
+    model(key, c, lp, deep): the contexts and suffixes, how often they occur, log10 of the
+    last symbol's probability after the others, and whether those are a state.  lp and
+    deep are the same one level deeper, v what a lookup adds.
     """
     model = broadcast_if_small(model)
-    known = materialize(found.join(model.select(F.col("key").alias("suffix"), F.col("lp").alias("lq")), "suffix"), "lm-known")
+    known = found.join(model.filter("deep").select(F.col("key").alias("suffix"), F.col("lp").alias("lq")), "suffix")
+    known = materialize(known.select("key", "prefix", "suffix", "c", "lq"), "lm-known")
     q = F.pow(F.lit(10.0), "lq")
     sums = known.groupBy("prefix").agg(
         F.count("*").alias("kinds"), F.sum("c").alias("listed"), F.sum(q).alias("listed_q"), F.sum(F.col("c") * F.log(F.col("c") / q)).alias("gain")
@@ -168,190 +246,237 @@ def grow(found: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
     gain = F.col("gain") - F.col("listed") * F.log("n") + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / (F.col("n") * F.col("rest_q")))).otherwise(0.0)
     kept = sums.filter(gain > 0.5 * (F.col("kinds") + 1) * F.log(F.greatest("n", F.lit(2))))
     sum_p = (F.col("listed") + F.col("kinds") * F.col("listed_q")) / (F.col("n") + F.col("kinds"))
-    kept = materialize(kept.select(F.col("prefix").alias("key"), "n", "kinds", F.log10(F.greatest(1 - sum_p, F.lit(1e-9)) / F.col("rest_q")).alias("scale")), "lm-states")
-    all_ = known.join(broadcast_if_small(kept.select(F.col("key").alias("prefix"), "n", "kinds", "scale")), "prefix", "left")
+    scale = F.log10(F.greatest(1 - sum_p, F.lit(1e-9)) / F.col("rest_q"))
+    kept = materialize(kept.select(F.col("prefix").alias("key"), "n", "kinds", scale.alias("scale")), "lm-states")
+    all_ = known.join(broadcast_if_small(kept.withColumnRenamed("key", "prefix")), "prefix", "left")
     p = F.log10((F.col("c") + F.col("kinds") * q) / (F.col("n") + F.col("kinds")))
-    all_ = all_.select("prefix", "suffix", "c", F.coalesce(p, "lq").alias("lp"), F.coalesce(p - F.col("scale") - F.col("lq"), F.lit(0.0)).alias("v"))
-    out = materialize(keyed(all_), "lm-transitions")
+    value = F.coalesce(p - F.col("scale") - F.col("lq"), F.lit(0.0))
+    all_ = all_.select("key", "prefix", "suffix", "c", F.coalesce(p, "lq").alias("lp"), value.alias("v"), F.col("kinds").isNotNull().alias("deep"))
+    out = materialize(all_, "lm-transitions")
     discard(known)
-    return kept.select("key", "scale"), out
-
+    return kept, out
 
-class Head:
-    """The most frequent keys of each level, as sorted arrays, and bit maps of the others; sent to the workers."""
 
-    def __init__(self, words: tuple[np.ndarray, np.ndarray, np.ndarray], total: int, types: int) -> None:
-        order = np.argsort(words[0])
-        self.head, self.counts, self.values = (x[order] for x in words)
-        self.total = float(total + 0.5 * (types + 1))
-        self.rare = len(self.head)  # any other word
-        self.root = np.append(np.log10((self.counts + 0.5) / self.total), 0.0)
-        self.values = np.append(self.values, 0.0)
-        self.start = 0.0
-        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, values, bit map of other keys
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.head):
-            return np.full(len(hashes), self.rare)
-        at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-        return np.where(self.head[at] == hashes, at, self.rare)
-
-
-class Tree(Head):
-    """With the tables of all levels.  What follows pulls them to the driver, to look at small trees; scores don't use it."""
+@dataclass
+class Tree:
+    """The tables of a tree: words(key, c), and a level each states(key, n, kinds, scale) and transitions(key, prefix, suffix, c, lp, v, deep)."""
 
+    words: DataFrame
+    total: int
+    types: int
+    start_scale: float
     states: list[DataFrame]
     transitions: list[DataFrame]
-    table: DataFrame
+    bits: Bits
+
+    @property
+    def divisor(self) -> float:
+        return float(self.total + 0.5 * (self.types + 1))
+
+    def values(self) -> DataFrame:
+        """(level, key, c, v): what a lookup of each key adds, of words besides the root's part."""
+        made = [self.words.select("key", "c", F.lit(0.0).alias("v")), *(t.select("key", "c", "v") for t in self.transitions)]
+        out = []
+        for level, keys in enumerate(made):
+            if level < len(self.states):  # a state adds its scale wherever its context occurs
+                keys = keys.join(broadcast_if_small(self.states[level].select("key", "scale")), "key", "left")
+                keys = keys.select("key", "c", (F.col("v") + F.coalesce("scale", F.lit(0.0))).alias("v"))
+            out.append(keys.filter("v != 0" if level else "true").select(F.lit(level).alias("level"), "key", "c", "v"))
+        return reduce(DataFrame.unionAll, out)
 
     def discard(self) -> None:
-        for t in self.transitions:
+        for t in (self.words, *self.states, *self.transitions):
             discard(t)
 
-    @cached_property
-    def _local(self) -> tuple[list[int], list[float], dict, list[int]]:
-        suffix_of, last, found = {}, {}, {}
-        parent, scale, state = [0], [0.0], {}
-        symbol = {int(h): i for i, h in enumerate(self.head.view(np.int64))}
-        for level, (states, steps) in enumerate(zip(self.states, self.transitions)):
-            for key, x in sorted(states.collect()):
-                up = suffix_of.get(key)
-                while up is not None and up not in state:
-                    up = suffix_of.get(up)
-                state[key] = len(parent)
-                parent.append(state.get(up, 0))
-                scale.append(x)
-            if not level:
-                level_one = len(parent)
-            for r in steps.collect():
-                suffix_of[r.key] = r.suffix
-                last[r.key] = last[r.suffix] if level else symbol.get(r.suffix)
-                if r.prefix in state:
-                    found[state[r.prefix], last[r.key]] = r.lp
-        return parent, scale, found, list(range(level_one, len(parent)))
 
-    @property
-    def parent(self) -> list[int]:
-        return self._local[0]
-
-    @property
-    def pairs(self) -> list[int]:
-        """States of more than one symbol."""
-        return self._local[3]
-
-    def probability(self, states: np.ndarray, symbols_: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol in each state; for rarer words without the root's part."""
-        parent, scale, found, _ = self._local
-        out = np.zeros(len(states))
-        for i, (s, x) in enumerate(zip(states.tolist(), symbols_.tolist())):
-            while s and (s, x) not in found:
-                out[i] += scale[s]
-                s = parent[s]
-            out[i] += found[s, x] if s else self.root[x]
-        return out
-
-
-def learn(docs: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame, int]:
-    """The tree, all word counts (h, c) and the number of training tokens; docs has held_out and text."""
+def learn(docs: DataFrame) -> Tree:
+    """The tree of the texts of docs(held_out, text) that aren't held out."""
     spark = docs.sparkSession
-    words = materialize(counted(docs), "lm-words")
+    found = materialize(counted(docs, range(0, 2), None), "lm-counts")
+    release(spark)
+    words = materialize(found.filter("level = 0").select(F.col("prefix").alias("key"), "c"), "lm-words")
     total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_texts = words.filter("h = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    divisor = total + 0.5 * (types + 1)
+    n_texts = words.filter("key = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     start = int(START_HASH.view(np.int64))
-    texts = spark.range(1).select(F.lit(start).cast("long").alias("key"), F.lit(n_texts).cast("long").alias("c"), F.lit(0.0).alias("lp"))
-    model = words.filter(F.col("c") >= MIN_COUNT).select(F.col("h").alias("key"), "c", F.log10((F.col("c") + 0.5) / F.lit(divisor)).alias("lp")).unionAll(texts)
-    made = words.select(F.col("h").alias("key"), "c", F.lit(0.0).alias("v"))
-    states, steps, values, start_scale = [], [], [], 0.0
-    for level in range(1, depth + 1):
-        found = materialize(counted_transitions(docs, level, bit_map(model)), "lm-counts")
-        release(spark)
-        kept, out = grow(found, model)
+    tree = Tree(words, int(total), int(types), 0.0, [], [], Bits())
+    texts = spark.range(1).select(F.lit(start).cast("long").alias("key"), F.lit(n_texts).cast("long").alias("c"), F.lit(0.0).alias("lp"), F.lit(True).alias("deep"))
+    root = F.log10((F.col("c") + 0.5) / F.lit(tree.divisor))
+    model = words.filter(F.col("c") >= MIN_COUNT).select("key", "c", root.alias("lp"), F.lit(True).alias("deep")).unionAll(texts)
+    tree.bits.add(model)
+    levels = range(0, 2)
+    while True:
+        for level in levels:
+            if level:
+                kept, out = grow(found.filter(F.col("level") == level).drop("level"), model)
+                release(spark)
+                if level == 1:
+                    tree.start_scale = float(sum(r.scale for r in kept.filter(F.col("key") == start).collect()))
+                if kept.limit(1).count() == 0:
+                    discard(out)
+                    discard(found)
+                    return tree
+                tree.states.append(kept)
+                tree.transitions.append(out)
+                model = out.select("key", "c", "lp", "deep")
+                tree.bits.add(model)
         discard(found)
+        levels = range(levels[-1] + 1, (levels[-1] + 1) * (2 if levels[-1] + 1 >= DEEP else 1) + (levels[-1] + 1 < DEEP))
+        found = materialize(counted(docs, levels, tree.bits), "lm-counts")
         release(spark)
-        if level == 1:
-            start_scale = sum(r.scale for r in kept.filter(F.col("key") == start).collect())
-        # A state adds its scale wherever its context occurs.
-        values.append(made.join(kept, "key", "left").select(F.lit(level).alias("level"), "key", "c", (F.col("v") + F.coalesce("scale", F.lit(0.0))).alias("v")))
-        states.append(kept)
-        steps.append(out)
-        model, made = out.select("key", "c", "lp"), out.select("key", "c", "v")
-    values.append(made.select(F.lit(depth + 1).alias("level"), "key", "c", "v"))
-    values = reduce(DataFrame.unionAll, [v if i == 0 else v.filter("v != 0") for i, v in enumerate(values)])
-    table = materialize(values, "lm-values")
-    release(spark)
 
-    is_head = (F.col("c") >= F.lit(max(1.0, HEAD * total))) | ((F.col("level") == 1) & (F.col("key") == 0))
-    table = table.withColumn("head", is_head)
-    arrays = lambda level: [c.to_numpy() for c in table.filter(F.col("head") & (F.col("level") == level)).select("key", "c", "v").toArrow().columns]
-    key, c, v = arrays(1)
-    tree = Tree((key.astype(np.int64).view(np.uint64), c.astype(np.float64), v.astype(np.float64)), int(total), int(types))
-    tree.start = start_scale
-    for level in range(2, depth + 2):
-        key, _, v = arrays(level)
-        order = np.argsort(key.astype(np.int64).view(np.uint64))
-        rest = bit_map(table.filter(~F.col("head") & (F.col("level") == level)))
-        tree.grams.append((key.astype(np.int64).view(np.uint64)[order], v.astype(np.float64)[order], rest))
-    tree.states, tree.transitions, tree.table = states, steps, table
-    return tree, words, int(total)
-
-
-def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+
+class Slots:
+    """Values of some keys, found by two places each; keys beyond two a place are left out, the rarest first."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> None:
+        size = 1 << max(1, int(len(keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        place = (keys & self.mask).astype(np.int64)
+        order = np.lexsort((-counts, place))
+        nth = np.arange(len(order)) - np.searchsorted(place[order], place[order])
+        order, nth = order[nth < 2], nth[nth < 2]
+        at = place[order] * 2 + nth
+        self.keys = np.zeros(2 * size, np.uint64)
+        self.used = np.zeros(2 * size, bool)
+        self.values = [np.zeros(2 * size) for _ in values]
+        self.keys[at], self.used[at] = keys[order], True
+        for mine, given in zip(self.values, values):
+            mine[at] = given[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each key, whether it is there)."""
+        at = (keys & self.mask).astype(np.int64) * 2
+        at += self.keys[at] != keys
+        return at, (self.keys[at] == keys) & self.used[at]
+
+
+class Reader:
+    """What workers know when they score: frequent keys, and which other keys there are."""
+
+    def __init__(self, tree: Tree, table: DataFrame, rest: np.ndarray) -> None:
+        self.depth, self.start = len(tree.transitions), tree.start_scale
+        self.unknown = float(np.log10(0.5) - np.log10(tree.divisor))
+        self.bits, self.rest = tree.bits, rest
+        is_word = F.col("level") == 0
+        sizes = table.groupBy(is_word.alias("word"), F.least("c", F.lit(1 << 12)).alias("c")).count().collect()
+        found = []
+        for word, most in zip((True, False), HEAD_KEYS):
+            least, n = 1 << 12, 0
+            for r in sorted((r for r in sizes if r.word == word), key=lambda r: -r.c):
+                n += r["count"]
+                if n > most:
+                    break
+                least = r.c
+            frequent = table.filter((is_word == word) & (F.col("c") >= F.lit(max(least, HEAD * tree.total)))).select("key", "c", "v")
+            if n > most and least == 1 << 12:  # no bound by counts up to there
+                frequent = frequent.orderBy(F.col("c").desc(), "key").limit(most)
+            key, c, v = (x.to_numpy() for x in frequent.toArrow().columns)
+            found.append((key.astype(np.int64).view(np.uint64), c.astype(np.float64), v.astype(np.float64)))
+        (key, c, v), grams = found
+        self.words = Slots(key, c, np.log10((c + 0.5) / tree.divisor), v)
+        self.grams = Slots(*grams[:2], grams[2])
+
+    def read(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(known, base and score of each row as far as the frequent keys tell; row and key of each lookup that is left)."""
+        n = np.diff(first)
+        row = np.repeat(np.arange(len(n)), n)
+        at, here = self.words.find(hashes)
+        base = np.where(here, self.words.values[0][at], self.unknown)
+        score = base + np.where(here, self.words.values[1][at], 0.0)
+        score[first[:-1]] += self.start
+        known_words, other = here, np.flatnonzero(~here)
+        other = other[Bits.has(self.rest, hashes[other])]
+        rows, keys = [row[other]], [hashes[other]]
+        known = lambda level, k: Bits.has(self.bits.listed, k)
+        for _, at, _, _, key in climb(hashes, first, self.depth, known, lambda level, k: Bits.has(self.bits.from_state, k)):
+            slot, here = self.grams.find(key)
+            score[at[here]] += self.grams.values[0][slot[here]]
+            left = np.flatnonzero(~here)
+            left = left[Bits.has(self.rest, key[left])]
+            rows.append(row[at[left]])
+            keys.append(key[left])
+        add = lambda x: np.bincount(row, x, minlength=len(n))
+        return add(known_words).astype(np.int64), add(base), add(score), np.concatenate(rows), np.concatenate(keys)
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     spark = docs.sparkSession
     told = docs.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    tree, _, total = learn(told, depth)
+    tree = learn(told)
+    table = materialize(tree.values(), "lm-values")
+    total = tree.total
+    rest = Bits()
+    rest.add(table.select("key", F.lit(False).alias("deep")))
+    reader = spark.sparkContext.broadcast(Reader(tree, table, rest.listed))
     tree.discard()
     release(spark)
-    head = Head((tree.head, tree.counts, tree.values[:-1]), 0, 0)
-    head.root, head.start, head.grams = tree.root, tree.start, tree.grams
-    shared = spark.sparkContext.broadcast(head)
-    unknown = float(np.log10(0.5) - np.log10(tree.total))
+    parts = n_parts(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in pieces(whole, "text"):
                 hashes, first = symbols(batch)
-                ids = t.ids(hashes)
-                rare = ids == t.rare
-                base = np.where(rare, unknown, t.root[ids])
-                p = base + t.values[ids]
-                p[first[:-1]] += t.start
                 n = np.diff(first)
-                row = np.repeat(np.arange(len(n)), n)
-                tails = [(row[rare], hashes[rare])]
-                for (keys, values, rest), (at, prefix, suffix) in zip(t.grams, transitions(hashes, first, len(t.grams))):
-                    gram = joined(prefix, suffix)
-                    other = in_map(rest, gram)
-                    if len(keys):
-                        where = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-                        is_head = keys[where] == gram
-                        p[at[is_head]] += values[where[is_head]]
-                        other &= ~is_head
-                    tails.append((row[at[other]], gram[other]))
-                tail_rows, tail = (np.concatenate(x) for x in zip(*tails))
-                tail = tail[np.argsort(tail_rows, kind="stable")]
-                ends = np.cumsum(np.bincount(tail_rows, minlength=len(n)))
-                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tail.view(np.int64)))
-                n_rare = np.bincount(row[rare], minlength=len(n))
-                total_of = lambda x: np.add.reduceat(x, first[:-1]) if len(n) else np.zeros(0)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(n - n_rare), pa.array(total_of(base)), pa.array(total_of(p)), tail],
-                    names=["doc_id", "held_out", "n", "known", "base", "p", "tail"],
-                )
-
+                known, base, sums, rows, keys = reader.value.read(hashes, first)
+                none = pa.nulls(len(n), pa.binary())
+                columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.arange(uid, uid + len(n))), pa.array(n), pa.array(known), pa.array(base), pa.array(sums)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(n), pa.int32()), none], names=names)
+                left = [(part, packed(keys[i], rows[i].astype(np.uint32))) for part, i in by_part(keys, parts)]
+                if left:
+                    empty = [pa.nulls(len(left), c.type) for c in columns]
+                    empty[2] = pa.array(np.full(len(left), uid))
+                    yield pa.RecordBatch.from_arrays([*empty, pa.array([p for p, _ in left], pa.int32()), pa.array([d for _, d in left], pa.binary())], names=names)
+                uid += len(n)
+
+    names = ["doc_id", "held_out", "uid", "n", "known", "base", "p", "part", "data"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    local = told.mapInArrow(run, f"doc_id {kind}, held_out boolean, n bigint, known bigint, base double, p double, tail array<bigint>")
-    local = materialize(local.withColumn("uid", F.monotonically_increasing_id()), "lm-local")
-    release(spark)
-    is_word = F.col("level") == 1
-    others = tree.table.filter("not head").select(
-        F.col("key").alias("h"), "v", F.when(is_word, F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5))).otherwise(0.0).alias("more"), F.when(is_word, 1).otherwise(0).alias("word")
-    )
-    rest = local.select("uid", F.explode("tail").alias("h")).join(others, "h")
-    rest = rest.groupBy("uid").agg(F.sum("more").alias("more"), F.sum(F.col("more") + F.col("v")).alias("p_more"), F.sum("word").alias("known_more"))
-    return local.drop("tail").join(rest, "uid", "left").select(
+    local = told.mapInArrow(read, f"doc_id {kind}, held_out boolean, uid bigint, n bigint, known bigint, base double, p double, part int, data binary")
+    local = materialize(local, "lm-local")
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level, key, c, v = (batch.column(x).to_numpy() for x in ("level", "key", "c", "v"))
+            word = level == 0
+            more = np.where(word, np.log10(c + 0.5) - np.log10(0.5), 0.0)
+            key = key.view(np.uint64)
+            rows = [(part, packed(key[i], v[i], more[i], word[i])) for part, i in by_part(key, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([d for _, d in rows], pa.binary())], names=["part", "uid", "data"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in stretches(batches, ["part"]):
+            held, sorted_ = [], None
+            for uid, data in rows:
+                if uid is None:
+                    held.append(unpacked(data, np.uint64, np.float64, np.float64, np.bool_))
+                    continue
+                if sorted_ is None:
+                    sorted_ = [np.concatenate(x) for x in zip(*held)] if held else [np.zeros(0, k) for k in (np.uint64, np.float64, np.float64, np.bool_)]
+                    order = np.argsort(sorted_[0])
+                    sorted_ = [x[order] for x in sorted_]
+                key, v, more, word = sorted_
+                asked, row = unpacked(data, np.uint64, np.uint32)
+                at = np.searchsorted(key, asked)
+                at[at == len(key)] = 0
+                hit = key[at] == asked if len(key) else np.zeros(len(asked), bool)
+                at, row = at[hit], row[hit]
+                doc, nth = np.unique(row, return_inverse=True)
+                sums = packed(doc, np.bincount(nth, more[at], len(doc)), np.bincount(nth, more[at] + v[at], len(doc)), np.bincount(nth, word[at], len(doc)).astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([sums], pa.binary())], names=["uid", "data"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (uid,), rows in stretches(batches, ["uid"]):
+            doc, more, both, word = (np.concatenate(x) for x in zip(*(unpacked(r[0], np.uint32, np.float64, np.float64, np.uint32) for r in rows)))
+            docs_, nth = np.unique(doc, return_inverse=True)
+            columns = [docs_.astype(np.int64) + uid, np.bincount(nth, more, len(docs_)), np.bincount(nth, both, len(docs_)), np.bincount(nth, word, len(docs_)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["uid", "more", "p_more", "known_more"])
+
+    asked = local.filter("part is not null").select("part", "uid", "data")
+    both = table.mapInArrow(values, "part int, uid bigint, data binary").unionAll(asked)
+    sums = dealt(both, ["part"], ["part", "uid"]).mapInArrow(look, "uid bigint, data binary")
+    sums = dealt(sums, ["uid"], ["uid"]).mapInArrow(gather, "uid bigint, more double, p_more double, known_more bigint")
+    return local.filter("part is null").join(sums, "uid", "left").select(
         "doc_id",
         "held_out",
         F.col("n").alias("n_tokens"),

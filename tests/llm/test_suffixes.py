@@ -51,12 +51,32 @@ def test_states_are_distributions(documents):
     from pyspark.sql import functions as F
 
     docs = documents([(i, text(i), "a") for i in range(60)]).select(F.lit(False).alias("held_out"), "text")
-    tree, _, _ = suffixes.learn(docs)
-    assert len(tree.parent) > 3 and len(tree.pairs)
-    for s in range(1, len(tree.parent)):
-        p = 10 ** tree.probability(np.full(len(tree.head), s), np.arange(len(tree.head)))
-        rest = 10 ** tree.probability(np.array([s]), np.array([tree.rare]))[0] * (1 - (10 ** tree.root[: len(tree.head)]).sum())
-        assert abs(p.sum() + rest - 1) < 1e-6
+    tree = suffixes.learn(docs)
+    assert len(tree.states) > 1 and tree.states[1].count()
+    root = {r.key: (r.c + 0.5) / tree.divisor for r in tree.words.collect()}
+    suffix_of, last, listed, scale = {}, {}, {}, {}
+    for level, (states, steps) in enumerate(zip(tree.states, tree.transitions)):
+        scale |= {r.key: r.scale for r in states.collect()}
+        for r in steps.collect():
+            suffix_of[r.key], last[r.key] = r.suffix, last[r.suffix] if level else r.suffix
+            if r.deep:
+                listed.setdefault(r.prefix, {})[last[r.key]] = 10**r.lp
+
+    def p(context, symbol):
+        while context is not None and context not in scale:
+            context = suffix_of.get(context)
+        if context is None:
+            return root[symbol]
+        own = listed[context]
+        return own[symbol] if symbol in own else 10 ** scale[context] * p(suffix_of.get(context), symbol)
+
+    for context in scale:
+        beyond = 1 - sum(root.values())  # of words that training lacks
+        up = context
+        while up is not None:
+            beyond *= 10 ** scale.get(up, 0)
+            up = suffix_of.get(up)
+        assert abs(sum(p(context, x) for x in root) + beyond - 1) < 1e-6
 
 
 def test_empty_and_only_held_out(documents):
