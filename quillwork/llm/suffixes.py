@@ -54,7 +54,7 @@ from quillwork.llm.words import fold_of
 from quillwork.plans.materialize import broadcast_if_small, discard, materialize, release
 
 FOLDS, HELD_OUT = 5, 1
-MIN_COUNT = 4
+MIN_COUNT = 2
 #: Keys that workers hold at most, of words and of transitions, and the share of all tokens a key needs for that.
 HEAD_KEYS, HEAD = (1 << 18, 1 << 20), 1e-9
 #: From this level on a pass over the texts counts as many levels as were counted before it; so few contexts are left by then.
