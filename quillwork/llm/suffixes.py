@@ -63,7 +63,7 @@ DEEP = 5
 PARTS = 4
 END_HASH = np.uint64(0)
 START_HASH = np.uint64(0x5DEECE66D1234567)
-#: 64-bit words of a bit map: 16 MB.
+#: 64-bit words of a bit map at most: 16 MB.
 MAP_WORDS = 1 << 21
 
 
@@ -120,12 +120,13 @@ def climb(hashes: np.ndarray, first: np.ndarray, depth: int, known: Callable, de
 class Bits:
     """Bit maps of listed keys, and of those that are transitions from states; other keys may share a bit."""
 
-    def __init__(self) -> None:
-        self.listed, self.from_state = np.zeros(MAP_WORDS, np.uint64), np.zeros(MAP_WORDS, np.uint64)
+    def __init__(self, types: int) -> None:
+        words = min(MAP_WORDS, 1 << max(6, types // 2).bit_length())
+        self.listed, self.from_state = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
 
     def add(self, keys: DataFrame) -> None:
         """keys: (key, deep)."""
-        word = F.expr(f"shiftright(key, 6) & {MAP_WORDS - 1}L").alias("w")
+        word = F.expr(f"shiftright(key, 6) & {len(self.listed) - 1}L").alias("w")
         bit = "shiftleft(1L, cast(key & 63L as int))"
         found = keys.groupBy(word).agg(F.expr(f"bit_or({bit})").alias("a"), F.expr(f"bit_or(if(deep, {bit}, 0L))").alias("b")).toArrow()
         at = found.column("w").to_numpy()
@@ -134,7 +135,7 @@ class Bits:
 
     @staticmethod
     def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        word = bits[(keys >> np.uint64(6)) & np.uint64(MAP_WORDS - 1)]
+        word = bits[(keys >> np.uint64(6)) & np.uint64(len(bits) - 1)]
         return (word >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -178,13 +179,13 @@ def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
 
 
 def counted(docs: DataFrame, levels: range, bits: Bits | None) -> DataFrame:
-    """(level, key, prefix, suffix, c) of the transitions from contexts of so many symbols that occur MIN_COUNT times at least.
+    """A table (level, key, prefix, suffix, c) of the transitions from contexts of so many symbols that occur MIN_COUNT times at least.
 
     Level 0 stands for single symbols, all of them, with the symbol as prefix.  Without
     bits, all transitions are counted; bits know the levels below the first.
     """
     spark = docs.sparkSession
-    parts, shared = n_parts(spark), bits and spark.sparkContext.broadcast(bits)
+    parts, shared = n_parts(spark), spark.sparkContext.broadcast(bits)
     least, top, low = MIN_COUNT, levels[-1], max(levels[0], 1)
 
     def emit(level: int, prefix: np.ndarray, suffix: np.ndarray, key: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -224,7 +225,11 @@ def counted(docs: DataFrame, levels: range, bits: Bits | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["level", "key", "prefix", "suffix", "c"])
 
     rows = docs.filter("not held_out").mapInArrow(count, "level int, part int, data binary")
-    return dealt(rows, ["level", "part"], ["level", "part"]).mapInArrow(add, "level int, key bigint, prefix bigint, suffix bigint, c bigint")
+    out = dealt(rows, ["level", "part"], ["level", "part"]).mapInArrow(add, "level int, key bigint, prefix bigint, suffix bigint, c bigint")
+    out = materialize(out, "lm-counts")
+    shared.destroy()
+    release(spark)
+    return out
 
 
 def grow(found: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -292,13 +297,12 @@ class Tree:
 def learn(docs: DataFrame) -> Tree:
     """The tree of the texts of docs(held_out, text) that aren't held out."""
     spark = docs.sparkSession
-    found = materialize(counted(docs, range(0, 2), None), "lm-counts")
-    release(spark)
+    found = counted(docs, range(0, 2), None)
     words = materialize(found.filter("level = 0").select(F.col("prefix").alias("key"), "c"), "lm-words")
     total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_texts = words.filter("key = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     start = int(START_HASH.view(np.int64))
-    tree = Tree(words, int(total), int(types), 0.0, [], [], Bits())
+    tree = Tree(words, int(total), int(types), 0.0, [], [], Bits(types))
     texts = spark.range(1).select(F.lit(start).cast("long").alias("key"), F.lit(n_texts).cast("long").alias("c"), F.lit(0.0).alias("lp"), F.lit(True).alias("deep"))
     root = F.log10((F.col("c") + 0.5) / F.lit(tree.divisor))
     model = words.filter(F.col("c") >= MIN_COUNT).select("key", "c", root.alias("lp"), F.lit(True).alias("deep")).unionAll(texts)
@@ -321,8 +325,7 @@ def learn(docs: DataFrame) -> Tree:
                 tree.bits.add(model)
         discard(found)
         levels = range(levels[-1] + 1, (levels[-1] + 1) * (2 if levels[-1] + 1 >= DEEP else 1) + (levels[-1] + 1 < DEEP))
-        found = materialize(counted(docs, levels, tree.bits), "lm-counts")
-        release(spark)
+        found = counted(docs, levels, tree.bits)
 
 
 class Slots:
@@ -406,7 +409,7 @@ def score(docs: DataFrame) -> DataFrame:
     tree = learn(told)
     table = materialize(tree.values(), "lm-values")
     total = tree.total
-    rest = Bits()
+    rest = Bits(tree.types)
     rest.add(table.select("key", F.lit(False).alias("deep")))
     reader = spark.sparkContext.broadcast(Reader(tree, table, rest.listed))
     tree.discard()
@@ -434,6 +437,7 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     local = told.mapInArrow(read, f"doc_id {kind}, held_out boolean, uid bigint, n bigint, known bigint, base double, p double, part int, data binary")
     local = materialize(local, "lm-local")
+    reader.destroy()
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
