@@ -44,7 +44,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,11 +53,13 @@ from quillwork.llm.words import fold_of
 from quillwork.plans.materialize import broadcast_if_small, discard, materialize, release
 
 FOLDS, HELD_OUT = 5, 1
-MIN_COUNT = 2
+MIN_COUNT = 4
 #: Keys that workers hold at most, of words and of transitions, and the share of all tokens a key needs for that.
 HEAD_KEYS, HEAD = (1 << 18, 1 << 20), 1e-9
 #: From this level on a pass over the texts counts as many levels as were counted before it; so few contexts are left by then.
 DEEP = 5
+#: Rows up to which a table of keys and numbers is broadcast.
+SMALL = 200_000
 #: Parts of the key space for each partition of a shuffle.
 PARTS = 4
 END_HASH = np.uint64(0)
@@ -199,8 +200,7 @@ def counted(docs: DataFrame, levels: range, bits: Bits | None) -> DataFrame:
         known = lambda level, keys: yes(keys) if not bits or level >= low else Bits.has(shared.value.listed, keys)
         deep = lambda level, keys: yes(keys) if not bits or level >= low else Bits.has(shared.value.from_state, keys)
         for whole in batches:
-            training = whole.filter(pc.invert(whole.column("held_out")))
-            for batch in pieces(training, "text", 8 << 20):
+            for batch in pieces(whole, "text"):
                 hashes, first = symbols(batch)
                 if 0 in levels:
                     values, counts = np.unique(hashes, return_counts=True)
@@ -239,7 +239,7 @@ def grow(found: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
     last symbol's probability after the others, and whether those are a state.  lp and
     deep are the same one level deeper, v what a lookup adds.
     """
-    model = broadcast_if_small(model)
+    model = broadcast_if_small(model, SMALL)
     known = found.join(model.filter("deep").select(F.col("key").alias("suffix"), F.col("lp").alias("lq")), "suffix")
     known = materialize(known.select("key", "prefix", "suffix", "c", "lq"), "lm-known")
     q = F.pow(F.lit(10.0), "lq")
@@ -253,7 +253,7 @@ def grow(found: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
     sum_p = (F.col("listed") + F.col("kinds") * F.col("listed_q")) / (F.col("n") + F.col("kinds"))
     scale = F.log10(F.greatest(1 - sum_p, F.lit(1e-9)) / F.col("rest_q"))
     kept = materialize(kept.select(F.col("prefix").alias("key"), "n", "kinds", scale.alias("scale")), "lm-states")
-    all_ = known.join(broadcast_if_small(kept.withColumnRenamed("key", "prefix")), "prefix", "left")
+    all_ = known.join(broadcast_if_small(kept.withColumnRenamed("key", "prefix"), SMALL), "prefix", "left")
     p = F.log10((F.col("c") + F.col("kinds") * q) / (F.col("n") + F.col("kinds")))
     value = F.coalesce(p - F.col("scale") - F.col("lq"), F.lit(0.0))
     all_ = all_.select("key", "prefix", "suffix", "c", F.coalesce(p, "lq").alias("lp"), value.alias("v"), F.col("kinds").isNotNull().alias("deep"))
@@ -284,7 +284,7 @@ class Tree:
         out = []
         for level, keys in enumerate(made):
             if level < len(self.states):  # a state adds its scale wherever its context occurs
-                keys = keys.join(broadcast_if_small(self.states[level].select("key", "scale")), "key", "left")
+                keys = keys.join(broadcast_if_small(self.states[level].select("key", "scale"), SMALL), "key", "left")
                 keys = keys.select("key", "c", (F.col("v") + F.coalesce("scale", F.lit(0.0))).alias("v"))
             out.append(keys.filter("v != 0" if level else "true").select(F.lit(level).alias("level"), "key", "c", "v"))
         return reduce(DataFrame.unionAll, out)
@@ -465,6 +465,8 @@ def score(docs: DataFrame) -> DataFrame:
                 at[at == len(key)] = 0
                 hit = key[at] == asked if len(key) else np.zeros(len(asked), bool)
                 at, row = at[hit], row[hit]
+                if not len(at):
+                    continue
                 doc, nth = np.unique(row, return_inverse=True)
                 sums = packed(doc, np.bincount(nth, more[at], len(doc)), np.bincount(nth, more[at] + v[at], len(doc)), np.bincount(nth, word[at], len(doc)).astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([sums], pa.binary())], names=["uid", "data"])
