@@ -55,7 +55,7 @@ from quillwork.plans.materialize import broadcast_if_small, discard, materialize
 FOLDS, HELD_OUT = 5, 1
 MIN_COUNT = 4
 #: Keys that workers hold at most, of words and of transitions, and the share of all tokens a key needs for that.
-HEAD_KEYS, HEAD = (1 << 18, 1 << 20), 1e-9
+HEAD_KEYS, HEAD = (1 << 17, 1 << 19), 1e-9
 #: From this level on a pass over the texts counts as many levels as were counted before it; so few contexts are left by then.
 DEEP = 5
 #: Rows up to which a table of keys and numbers is broadcast.
@@ -64,8 +64,8 @@ SMALL = 200_000
 PARTS = 4
 END_HASH = np.uint64(0)
 START_HASH = np.uint64(0x5DEECE66D1234567)
-#: 64-bit words of a bit map at most: 16 MB.
-MAP_WORDS = 1 << 21
+#: 64-bit words of a bit map at most: 8 MB.
+MAP_WORDS = 1 << 20
 
 
 def symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -332,7 +332,7 @@ class Slots:
     """Values of some keys, found by two places each; keys beyond two a place are left out, the rarest first."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> None:
-        size = 1 << max(1, int(len(keys)).bit_length())
+        size = 1 << max(1, int(len(keys) - 1).bit_length())
         self.mask = np.uint64(size - 1)
         place = (keys & self.mask).astype(np.int64)
         order = np.lexsort((-counts, place))
@@ -419,7 +419,7 @@ def score(docs: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", 2 << 20):
                 hashes, first = symbols(batch)
                 n = np.diff(first)
                 known, base, sums, rows, keys = reader.value.read(hashes, first)
