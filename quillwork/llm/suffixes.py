@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 
 from quillwork.llm.packed import batch_bytes, mix64, pieces, span_hashes, word_spans
 from quillwork.llm.words import fold_of
+from quillwork.plans.batches import bounded_batches
 from quillwork.plans.materialize import broadcast_if_small, discard, materialize, release
 
 FOLDS, HELD_OUT = 5, 1
@@ -62,6 +63,8 @@ DEEP = 5
 SMALL = 200_000
 #: Parts of the key space for each partition of a shuffle.
 PARTS = 4
+#: Bytes of the batches of texts and packed arrays that a worker gets.
+BATCH_BYTES = 8 << 20
 END_HASH = np.uint64(0)
 START_HASH = np.uint64(0x5DEECE66D1234567)
 #: 64-bit words of a bit map at most: 8 MB.
@@ -406,7 +409,8 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
     spark = docs.sparkSession
     told = docs.select("doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    tree = learn(told)
+    with bounded_batches(spark, BATCH_BYTES):
+        tree = learn(told)
     table = materialize(tree.values(), "lm-values")
     total = tree.total
     rest = Bits(tree.types)
@@ -436,7 +440,8 @@ def score(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "held_out", "uid", "n", "known", "base", "p", "part", "data"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     local = told.mapInArrow(read, f"doc_id {kind}, held_out boolean, uid bigint, n bigint, known bigint, base double, p double, part int, data binary")
-    local = materialize(local, "lm-local")
+    with bounded_batches(spark, BATCH_BYTES):
+        local = materialize(local, "lm-local")
     reader.destroy()
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
