@@ -25,8 +25,8 @@ driver.
 
 A score is a sum of independent lookups: a state adds its scale wherever its context
 occurs, and a listed transition adds what it differs from that scale and from the
-parent's probability.  Workers hold the values of the most frequent keys, HEAD_KEYS of
-words and of transitions at most; all other lookups are dealt to the parts of the key
+parent's probability.  Workers hold the values of the most frequent keys, those that
+are a share HEAD of the tokens, however large the corpus; all other lookups are dealt to the parts of the key
 space as packed arrays and their sums come back.  The head, and bit maps that leave
 out keys which no table has, change the cost, not the result.
 
@@ -51,16 +51,14 @@ from pyspark.sql import functions as F
 from quillwork.llm.packed import batch_bytes, mix64, pieces, span_hashes, word_spans
 from quillwork.llm.words import fold_of
 from quillwork.plans.batches import bounded_batches
-from quillwork.plans.materialize import broadcast_if_small, discard, materialize, release
+from quillwork.plans.materialize import discard, materialize, release
 
 FOLDS, HELD_OUT = 5, 1
 MIN_COUNT = 4
-#: Keys that workers hold at most, of words and of transitions, and the share of all tokens a key needs for that.
-HEAD_KEYS, HEAD = (1 << 17, 1 << 19), 1e-9
+#: Workers hold the values of keys that make up such a share of all tokens; there are 1 / HEAD of words and of each level at most.
+HEAD = 5e-7
 #: From this level on a pass over the texts counts as many levels as were counted before it; so few contexts are left by then.
 DEEP = 5
-#: Rows up to which a table of keys and numbers is broadcast.
-SMALL = 200_000
 #: Parts of the key space for each partition of a shuffle.
 PARTS = 4
 #: Bytes of the batches of texts and packed arrays that a worker gets.
@@ -242,7 +240,6 @@ def grow(found: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
     last symbol's probability after the others, and whether those are a state.  lp and
     deep are the same one level deeper, v what a lookup adds.
     """
-    model = broadcast_if_small(model, SMALL)
     known = found.join(model.filter("deep").select(F.col("key").alias("suffix"), F.col("lp").alias("lq")), "suffix")
     known = materialize(known.select("key", "prefix", "suffix", "c", "lq"), "lm-known")
     q = F.pow(F.lit(10.0), "lq")
@@ -256,7 +253,7 @@ def grow(found: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
     sum_p = (F.col("listed") + F.col("kinds") * F.col("listed_q")) / (F.col("n") + F.col("kinds"))
     scale = F.log10(F.greatest(1 - sum_p, F.lit(1e-9)) / F.col("rest_q"))
     kept = materialize(kept.select(F.col("prefix").alias("key"), "n", "kinds", scale.alias("scale")), "lm-states")
-    all_ = known.join(broadcast_if_small(kept.withColumnRenamed("key", "prefix"), SMALL), "prefix", "left")
+    all_ = known.join(kept.withColumnRenamed("key", "prefix"), "prefix", "left")
     p = F.log10((F.col("c") + F.col("kinds") * q) / (F.col("n") + F.col("kinds")))
     value = F.coalesce(p - F.col("scale") - F.col("lq"), F.lit(0.0))
     all_ = all_.select("key", "prefix", "suffix", "c", F.coalesce(p, "lq").alias("lp"), value.alias("v"), F.col("kinds").isNotNull().alias("deep"))
@@ -287,7 +284,7 @@ class Tree:
         out = []
         for level, keys in enumerate(made):
             if level < len(self.states):  # a state adds its scale wherever its context occurs
-                keys = keys.join(broadcast_if_small(self.states[level].select("key", "scale"), SMALL), "key", "left")
+                keys = keys.join(self.states[level].select("key", "scale"), "key", "left")
                 keys = keys.select("key", "c", (F.col("v") + F.coalesce("scale", F.lit(0.0))).alias("v"))
             out.append(keys.filter("v != 0" if level else "true").select(F.lit(level).alias("level"), "key", "c", "v"))
         return reduce(DataFrame.unionAll, out)
@@ -364,18 +361,9 @@ class Reader:
         self.unknown = float(np.log10(0.5) - np.log10(tree.divisor))
         self.bits, self.rest = tree.bits, rest
         is_word = F.col("level") == 0
-        sizes = table.groupBy(is_word.alias("word"), F.least("c", F.lit(1 << 12)).alias("c")).count().collect()
         found = []
-        for word, most in zip((True, False), HEAD_KEYS):
-            least, n = 1 << 12, 0
-            for r in sorted((r for r in sizes if r.word == word), key=lambda r: -r.c):
-                n += r["count"]
-                if n > most:
-                    break
-                least = r.c
-            frequent = table.filter((is_word == word) & (F.col("c") >= F.lit(max(least, HEAD * tree.total)))).select("key", "c", "v")
-            if n > most and least == 1 << 12:  # no bound by counts up to there
-                frequent = frequent.orderBy(F.col("c").desc(), "key").limit(most)
+        for word in (True, False):
+            frequent = table.filter((is_word == word) & (F.col("c") >= F.lit(max(1.0, HEAD * tree.total)))).select("key", "c", "v")
             key, c, v = (x.to_numpy() for x in frequent.toArrow().columns)
             found.append((key.astype(np.int64).view(np.uint64), c.astype(np.float64), v.astype(np.float64)))
         (key, c, v), grams = found
@@ -420,79 +408,83 @@ def score(docs: DataFrame) -> DataFrame:
     release(spark)
     parts = n_parts(spark)
 
+    row_type = "part int, kind int, uid bigint, data binary"
+
+    def as_rows(found: list[tuple[int, int, int | None, bytes]]) -> pa.RecordBatch:
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=["part", "kind", "uid", "data"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each piece of the texts its lookups by part (kind 1), and its rows with what the frequent keys tell (kind 2)."""
         uid = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in pieces(whole, "text", 2 << 20):
                 hashes, first = symbols(batch)
-                n = np.diff(first)
                 known, base, sums, rows, keys = reader.value.read(hashes, first)
-                none = pa.nulls(len(n), pa.binary())
-                columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.arange(uid, uid + len(n))), pa.array(n), pa.array(known), pa.array(base), pa.array(sums)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(n), pa.int32()), none], names=names)
-                left = [(part, packed(keys[i], rows[i].astype(np.uint32))) for part, i in by_part(keys, parts)]
-                if left:
-                    empty = [pa.nulls(len(left), c.type) for c in columns]
-                    empty[2] = pa.array(np.full(len(left), uid))
-                    yield pa.RecordBatch.from_arrays([*empty, pa.array([p for p, _ in left], pa.int32()), pa.array([d for _, d in left], pa.binary())], names=names)
-                uid += len(n)
-
-    names = ["doc_id", "held_out", "uid", "n", "known", "base", "p", "part", "data"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    local = told.mapInArrow(read, f"doc_id {kind}, held_out boolean, uid bigint, n bigint, known bigint, base double, p double, part int, data binary")
-    with bounded_batches(spark, BATCH_BYTES):
-        local = materialize(local, "lm-local")
-    reader.destroy()
+                columns = [batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (np.diff(first), known, base, sums))]
+                told_ = pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, told_.schema) as out:
+                    out.write_batch(told_)
+                lookups = [(part, 1, uid, packed(keys[i], rows[i].astype(np.uint32))) for part, i in by_part(keys, parts)]
+                yield as_rows([*lookups, (uid % parts, 2, uid, sink.getvalue().to_pybytes())])
+                uid += len(batch)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The table by part (kind 0)."""
         for batch in batches:
             level, key, c, v = (batch.column(x).to_numpy() for x in ("level", "key", "c", "v"))
             word = level == 0
             more = np.where(word, np.log10(c + 0.5) - np.log10(0.5), 0.0)
             key = key.view(np.uint64)
-            rows = [(part, packed(key[i], v[i], more[i], word[i])) for part, i in by_part(key, parts)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([d for _, d in rows], pa.binary())], names=["part", "uid", "data"])
+            yield as_rows([(part, 0, None, packed(key[i], v[i], more[i], word[i])) for part, i in by_part(key, parts)])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in stretches(batches, ["part"]):
-            held, sorted_ = [], None
-            for uid, data in rows:
-                if uid is None:
+        """The sums of each piece's lookups in a part (kind 1); other rows pass."""
+        for (part,), rows in stretches(batches, ["part"]):
+            held, table_ = [], None
+            for kind, uid, data in rows:
+                if kind == 0:
                     held.append(unpacked(data, np.uint64, np.float64, np.float64, np.bool_))
-                    continue
-                if sorted_ is None:
-                    sorted_ = [np.concatenate(x) for x in zip(*held)] if held else [np.zeros(0, k) for k in (np.uint64, np.float64, np.float64, np.bool_)]
-                    order = np.argsort(sorted_[0])
-                    sorted_ = [x[order] for x in sorted_]
-                key, v, more, word = sorted_
-                asked, row = unpacked(data, np.uint64, np.uint32)
-                at = np.searchsorted(key, asked)
-                at[at == len(key)] = 0
-                hit = key[at] == asked if len(key) else np.zeros(len(asked), bool)
-                at, row = at[hit], row[hit]
-                if not len(at):
-                    continue
-                doc, nth = np.unique(row, return_inverse=True)
-                sums = packed(doc, np.bincount(nth, more[at], len(doc)), np.bincount(nth, more[at] + v[at], len(doc)), np.bincount(nth, word[at], len(doc)).astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([uid], pa.int64()), pa.array([sums], pa.binary())], names=["uid", "data"])
+                elif kind == 2:
+                    yield as_rows([(part, kind, uid, data)])
+                elif held:
+                    if table_ is None:
+                        table_ = [np.concatenate(x) for x in zip(*held)]
+                        table_ = [x[np.argsort(table_[0])] for x in table_]
+                    key, v, more, word = table_
+                    asked, row = unpacked(data, np.uint64, np.uint32)
+                    at = np.searchsorted(key, asked)
+                    at[at == len(key)] = 0
+                    hit = key[at] == asked
+                    at, row = at[hit], row[hit]
+                    doc, nth = np.unique(row, return_inverse=True)
+                    add = lambda x: np.bincount(nth, x[at], len(doc)).astype(np.float64)  # noqa: B023, E731
+                    yield as_rows([(part, kind, uid, packed(doc, add(word).astype(np.uint32), add(more), add(more + v)))])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (uid,), rows in stretches(batches, ["uid"]):
-            doc, more, both, word = (np.concatenate(x) for x in zip(*(unpacked(r[0], np.uint32, np.float64, np.float64, np.uint32) for r in rows)))
-            docs_, nth = np.unique(doc, return_inverse=True)
-            columns = [docs_.astype(np.int64) + uid, np.bincount(nth, more, len(docs_)), np.bincount(nth, both, len(docs_)), np.bincount(nth, word, len(docs_)).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["uid", "more", "p_more", "known_more"])
-
-    asked = local.filter("part is not null").select("part", "uid", "data")
-    both = table.mapInArrow(values, "part int, uid bigint, data binary").unionAll(asked)
-    sums = dealt(both, ["part"], ["part", "uid"]).mapInArrow(look, "uid bigint, data binary")
-    sums = dealt(sums, ["uid"], ["uid"]).mapInArrow(gather, "uid bigint, more double, p_more double, known_more bigint")
-    return local.filter("part is null").join(sums, "uid", "left").select(
-        "doc_id",
-        "held_out",
-        F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("p") + F.coalesce("p_more", F.lit(0.0))).alias("score"),
-    )
+        """The rows of each piece, with the sums of its lookups."""
+        for _, rows in stretches(batches, ["uid"]):
+            sums, own = [], None
+            for _, kind, data in rows:
+                if kind == 2:
+                    own = pa.ipc.open_stream(data).read_next_batch()
+                else:
+                    sums.append(unpacked(data, np.uint32, np.uint32, np.float64, np.float64))
+            columns = own.columns
+            if sums:
+                doc, *added = (np.concatenate(x) for x in zip(*sums))
+                columns[3:] = [pa.array(c.to_numpy() + np.bincount(doc, x, len(own)).astype(c.to_numpy().dtype)) for c, x in zip(columns[3:], added)]
+            yield pa.RecordBatch.from_arrays(columns, names=own.schema.names)
+
+    asked = table.mapInArrow(values, row_type).unionAll(told.mapInArrow(read, row_type))
+    sums = dealt(asked, ["part"], ["part", "kind", "uid"]).mapInArrow(look, row_type)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = dealt(sums.select("uid", "part", "kind", "data"), ["uid"], ["uid"])
+    scored = scored.mapInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    with bounded_batches(spark, BATCH_BYTES):
+        scored = materialize(scored, "lm-scores")
+    reader.destroy()
+    discard(table)
+    release(spark)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
