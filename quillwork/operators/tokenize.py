@@ -8,9 +8,12 @@ are never shuffled for that.
 from __future__ import annotations
 
 import base64
+import heapq
 import re
+from collections import ChainMap
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,22 +89,28 @@ class Encoder:
         self.known: dict[str, list[int]] = {}
 
     def merge(self, parts: list[str]) -> list[str]:
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(pair), k) for k, pair in enumerate(zip(parts, parts[1:]))]
-            best = min((r for r, _ in ranked if r is not None), default=None)
-            if best is None:
-                break
-            left, right = self.v.merges[best].split(" ")
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == left and parts[k + 1] == right:
-                    out.append(left + right)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return parts
+        """Merges by rank: all places of the lowest rank at hand, from the left, then those of the lowest there is by then."""
+        n = len(parts)
+        text: list[str | None] = list(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_at = lambda k: self.ranks.get((text[k], text[after[k]])) if after[k] < n else None
+        queue = [(r, k) for k in range(n) if (r := rank_at(k)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            rank, places = queue[0][0], []
+            while queue and queue[0][0] == rank:
+                places.append(heapq.heappop(queue)[1])
+            for k in places:
+                if text[k] is None or rank_at(k) != rank:  # changed by a merge since
+                    continue
+                gone = after[k]
+                text[k], text[gone], after[k] = text[k] + text[gone], None, after[gone]
+                if after[k] < n:
+                    before[after[k]] = k
+                for i in (before[k], k):
+                    if i >= 0 and (r := rank_at(i)) is not None:
+                        heapq.heappush(queue, (r, i))
+        return [t for t in text if t is not None]
 
     def piece(self, piece: str) -> list[int]:
         if (ids := self.known.get(piece)) is not None:
@@ -178,60 +187,55 @@ def pick(v: Vocabulary):
     return encode if v.merges and v.encoder in ("byte_level", "metaspace") else encode_longest
 
 
-def sequence_length(lead: int) -> int:
-    """Bytes of the UTF-8 sequence that a byte leads, 0 for none."""
-    return 1 if lead < 0x80 else 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
+#: A run of ASCII, as many bytes as a lead byte asks for or fewer at the end, or a byte that leads nothing.
+UNITS = re.compile(rb"(?s)[\x00-\x7F]+|[\xC2-\xDF].|[\xE0-\xEF]..|[\xF0-\xF4]...|(?P<begun>[\xC2-\xF4].{0,2}\Z)|[\x80-\xC1\xF5-\xFF]")
+
+
+def readable(raw: bytes) -> tuple[str, bytes]:
+    """(text, bytes of a character that isn't complete); a unit that isn't UTF-8 is one replacement character."""
+    out = []
+    for unit in UNITS.finditer(raw):
+        if unit["begun"]:
+            return "".join(out), unit["begun"]
+        try:
+            out.append(unit[0].decode())
+        except UnicodeDecodeError:
+            out.append(REPLACEMENT)
+    return "".join(out), b""
+
+
+def token_parts(v: Vocabulary) -> dict[int, bytes | str]:
+    """What each id stands for: bytes that join with their neighbours, or text that is complete."""
+    if v.encoder == "byte_level":
+        parts = {i: bytes(map(CHAR_BYTES.get, t)) if CHAR_BYTES.keys() >= set(t) else t.encode() for t, i in v.vocab.items()}
+    else:
+        parts = {i: t.replace(pretok.META, " ") for t, i in v.vocab.items() if not re.fullmatch(r"<0x[0-9A-Fa-f]{2}>", t)}
+    return parts | {i: bytes([i - v.byte_start]) for i in range(v.byte_start, v.byte_end + 1)}
 
 
 class Detokenizer:
-    """Text from ids, keeping the bytes of an unfinished character between calls."""
+    """Text from ids: runs of byte parts are decoded together, what is left of an unfinished character stays in `pending`."""
 
     def __init__(self, v: Vocabulary, pending: bytes = b"") -> None:
-        self.v, self.special, self.pending = v, set(v.specials().values()), bytearray(pending)
-        if v.encoder == "byte_level":
-            self.table = {i: bytes(CHAR_BYTES[c] for c in t) if all(c in CHAR_BYTES for c in t) else t.encode() for t, i in v.vocab.items()}
-        else:
-            self.table = {i: t.replace(pretok.META, " ") for t, i in v.vocab.items() if not re.fullmatch(r"<0x[0-9A-Fa-f]{2}>", t)}
-
-    def _complete(self, out: list[str]) -> None:
-        while self.pending:
-            need = sequence_length(self.pending[0])
-            if not need:
-                out.append(REPLACEMENT)
-                del self.pending[0]
-                continue
-            if len(self.pending) < need:
-                return
-            try:
-                out.append(bytes(self.pending[:need]).decode())
-            except UnicodeDecodeError:
-                out.append(REPLACEMENT)
-            del self.pending[:need]
-
-    def _all(self, out: list[str]) -> None:
-        if self.pending:
-            out.append(bytes(self.pending).decode(errors="replace"))
-            self.pending.clear()
+        self.parts, self.pending = token_parts(v), pending
+        self.hidden = dict.fromkeys(set(v.specials().values()) - set(range(v.byte_start, v.byte_end + 1)), "")
 
     def render(self, ids: Iterable[int], partial: bool = False, special: bool = False) -> str:
-        out: list[str] = []
-        for i in ids:
-            if self.v.byte_start <= i <= self.v.byte_end:
-                self.pending.append(i - self.v.byte_start)
-                self._complete(out)
-                continue
-            hidden = i in self.special and not special
-            known = self.table.get(i)
-            if hidden or known is None or isinstance(known, str):
-                self._all(out)
-                if not hidden:
-                    out.append(REPLACEMENT if known is None else known)
+        """partial: more ids will follow; special: special tokens are written too."""
+        parts = ChainMap({} if special else self.hidden, self.parts)
+        out = []
+        for raw, run in groupby((parts.get(i, REPLACEMENT) for i in ids), lambda part: isinstance(part, bytes)):
+            if raw:
+                text, self.pending = readable(b"".join([self.pending, *run]))
+                out.append(text)
             else:
-                self.pending += known
-                self._complete(out)
-        if not partial:
-            self._all(out)
-        return "".join(out)
+                out += [self.rest(), *run]
+        return "".join(out if partial else [*out, self.rest()])
+
+    def rest(self) -> str:
+        """What is pending, as it stands."""
+        rest, self.pending = bytes(self.pending), b""
+        return rest.decode(errors="replace")
 
 
 def detokenize(ids: Column, v: Vocabulary, special: bool = False) -> Column:

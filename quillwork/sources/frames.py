@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -101,50 +102,59 @@ def msgpack_frames(data: bytes) -> tuple[list[Frame], int]:
     return frames, 0
 
 
-def varint(data: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        if at >= len(data):
-            raise ValueError("truncated varint")
-        b = data[at]
-        at += 1
-        value |= (b & 127) << shift
-        if b < 128:
-            return value, at
-        shift += 7
-        if shift > 63:
-            raise ValueError("varint is too long")
+#: A base-128 number: bytes with the high bit, then one without; ten bytes hold 64 bits.
+VARINT = re.compile(rb"[\x80-\xFF]{0,9}[\x00-\x7F]")
+#: Bytes of the wire types of fixed width.
+WIDTHS = {1: 8, 5: 4}
 
 
-def protobuf_frame(data: bytes) -> Frame:
-    """One message: 1 packed or single ids, 2 done, 3 finish reason; other fields are skipped by their wire type."""
-    frame, at = Frame([]), 0
+def numbers(data: bytes) -> list[int]:
+    """All base-128 numbers of packed data."""
+    found = VARINT.findall(data)
+    if sum(map(len, found)) != len(data):
+        raise ValueError("truncated varint")
+    return [sum((b & 127) << 7 * k for k, b in enumerate(raw)) for raw in found]
+
+
+def fields(data: bytes) -> Iterator[tuple[int, int, Any]]:
+    """(number, wire type, value) of each field of a message: a number for type 0, else the field's bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        if not (found := VARINT.match(data, at)):
+            raise ValueError("truncated varint")
+        at = found.end()
+        return numbers(found[0])[0]
+
     while at < len(data):
-        tag, at = varint(data, at)
-        number, wire = tag >> 3, tag & 7
+        tag = number()
+        wire = tag & 7
         if wire == 0:
-            value, at = varint(data, at)
-            if number == 1:
+            yield tag >> 3, wire, number()
+            continue
+        if wire != 2 and wire not in WIDTHS:
+            raise ValueError(f"unknown wire type {wire}")
+        size = number() if wire == 2 else WIDTHS[wire]
+        if at + size > len(data):
+            raise ValueError("truncated field")
+        yield tag >> 3, wire, data[at : at + size]
+        at += size
+
+
+def protobuf_frame(data: bytes) -> Frame:
+    """One message: 1 packed or single ids, 2 done, 3 finish reason; other fields don't matter."""
+    frame = Frame([])
+    for known in fields(data):
+        match known:
+            case (1, 0, value):
                 frame.ids.append(value)
-            elif number == 2:
+            case (1, 2, packed):
+                frame.ids += numbers(packed)
+            case (2, 0, value):
                 frame.done = bool(value)
-        elif wire in (1, 5):
-            at += 8 if wire == 1 else 4
-        elif wire == 2:
-            size, at = varint(data, at)
-            if at + size > len(data):
-                raise ValueError("truncated field")
-            body = data[at : at + size]
-            at += size
-            if number == 1:
-                k = 0
-                while k < size:
-                    value, k = varint(body, k)
-                    frame.ids.append(value)
-            elif number == 3:
-                frame.finish_reason = body.decode()
-        else:
-            raise ValueError(f"unknown wire type {wire}")
+            case (3, 2, text):
+                frame.finish_reason = text.decode()
     return frame
 
 

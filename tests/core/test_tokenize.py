@@ -55,17 +55,34 @@ def test_encoding_equals_that_of_tiktoken(spark):
     assert T.rank_lines(v)[5] == f"{base64.b64encode(next(k for k, x in ranks.items() if x == 5)).decode()} 5"
 
 
-TINY = T.Vocabulary("tiny", {"h": 1, "he": 2, "hello": 3, " ": 4, "world": 5, "w": 6, "wor": 7, "!": 8, "\n": 9}, encoder="text", special={"eos": 266}, byte_start=10, byte_end=265)
+GARDEN = T.Vocabulary("garden", {"rose": 21, "ro": 22, "rosebud": 23, "-": 24, "fern": 25, "f": 26, "fe": 27, "\t": 28}, encoder="text", special={"stop": 700}, byte_start=300, byte_end=555)
 
 
 def test_longest_match_and_fallback_bytes(spark):
-    ids = spark.createDataFrame([("hello world!<|eos|>?he",)], "t string").select(T.encode_longest(F.col("t"), TINY).alias("i")).first().i
-    assert list(ids) == [3, 4, 5, 8, 266, 0, 2]
-    d = T.Detokenizer(TINY)
-    smile = "\U0001f600".encode()
-    assert d.render([10 + smile[0], 10 + smile[1]], partial=True) == "" and d.render([10 + b for b in smile[2:]], partial=True) == "\U0001f600"
-    assert d.render([10 + 0xFF, 3, 999, 266]) == "�hello�"
-    assert d.render([10 + 0xE2, 10 + 0x82]) == "�"
+    ids = spark.createDataFrame([("rosebud-fern\t<|stop|>;rose",)], "t string").select(T.encode_longest(F.col("t"), GARDEN).alias("i")).first().i
+    assert list(ids) == [23, 24, 25, 28, 700, 0, 21]
+    d = T.Detokenizer(GARDEN)
+    note = [300 + b for b in "\U0001f3b5".encode()]
+    assert d.render(note[:3], partial=True) == "" and d.render(note[3:], partial=True) == "\U0001f3b5"
+    assert d.render([300 + 0xC0, 21, 9999, 700]) == "\ufffdrose\ufffd"
+    assert d.render([300 + 0xE1, 300 + 0x84]) == "\ufffd" and d.pending == b""
+    assert d.render([300 + 0xC3, 24], partial=True) == "\ufffd-"
+
+
+def test_readable_units():
+    raw = "aé中\U0001f600".encode()
+    assert T.readable(raw) == ("aé中\U0001f600", b"")
+    for cut in range(len(raw)):
+        text, rest = T.readable(raw[:cut])
+        assert text.encode() + rest == raw[:cut]
+    assert T.readable(b"\xe2\x28\xa1b") == ("\ufffdb", b"") and T.readable(b"\xff\x80") == ("\ufffd\ufffd", b"")
+
+
+def test_merges_of_one_rank_before_lower_ones_that_they_make():
+    v = T.Vocabulary("m", {}, ["ab ab", "a b", "b a", "a a"])
+    e = T.Encoder(v)
+    assert e.merge(list("ababab")) == ["abab", "ab"] and e.merge(list("aaa")) == ["aa", "a"] and e.merge(list("baab")) == ["ba", "ab"]
+    assert e.merge([]) == [] and e.merge(["x"]) == ["x"] and e.merge(list("xyz")) == list("xyz")
 
 
 def test_special_tokens_are_split_off(spark):
