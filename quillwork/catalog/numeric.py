@@ -21,13 +21,13 @@ def accept_encoding_parse(spark, sf_dir):
 
 
 def byte_entropy(spark, sf_dir):
-    return compress.byte_entropy(spread(read(spark, sf_dir, "documents")), "doc_id", "text").select("doc_id", F.round("bits", 5).alias("bits"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.round(compress.byte_entropy(F.col("text")), 5).alias("bits"))
 
 
 def entropy_buckets(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", compress.bucket(F.octet_length("text")).alias("bucket"))
-    bits = compress.byte_entropy(spread(read(spark, sf_dir, "documents")), "doc_id", "text")
-    return docs.join(bits, "doc_id").groupBy("bucket").agg(F.count("*").alias("n_docs"), F.round(F.avg("bits"), 5).alias("mean_bits"))
+    docs = spread(read(spark, sf_dir, "documents"))
+    rated = docs.select(compress.bucket(F.octet_length("text")).alias("bucket"), compress.byte_entropy(F.col("text")).alias("bits"))
+    return rated.groupBy("bucket").agg(F.count("*").alias("n_docs"), F.round(F.avg("bits"), 5).alias("mean_bits"))
 
 
 def _picked(spark, sf_dir):
@@ -86,7 +86,7 @@ def dictionary_selection(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").filter("size(embedding) = 64").select("vec_id", "label", F.col("embedding").alias("x"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("x"))
 
 
 def _quantized(spark, sf_dir, top):
@@ -113,12 +113,12 @@ def dequantize_error(spark, sf_dir):
 
 
 def int4_pack_hex(spark, sf_dir):
-    return _quantized(spark, sf_dir, 7).select("vec_id", latents.pack4(F.slice("q", 1, 63)).alias("packed"))
+    return _quantized(spark, sf_dir, 7).select("vec_id", latents.pack4(F.slice("q", 1, F.size("q") - 1)).alias("packed"))
 
 
 def int4_unpack(spark, sf_dir):
-    v = _quantized(spark, sf_dir, 7).select("vec_id", latents.pack4(F.slice("q", 1, 63)).alias("p"))
-    return v.select("vec_id", joined(latents.unpack4(F.col("p"), F.lit(63))).alias("q"))
+    v = _quantized(spark, sf_dir, 7).select("vec_id", latents.pack4(F.slice("q", 1, F.size("q") - 1)).alias("p"), (F.size("q") - 1).alias("n"))
+    return v.select("vec_id", joined(latents.unpack4(F.col("p"), F.col("n"))).alias("q"))
 
 
 def _keyed(spark, sf_dir):
@@ -166,7 +166,8 @@ def median_matrix(spark, sf_dir):
 
 
 def unanimity(spark, sf_dir):
-    return matrix.unanimity(_bench(spark, sf_dir), [*CELL, "lang", "wire_bytes"])
+    clients = matrix.client_medians(_bench(spark, sf_dir), CELL, "lang", ["wire_bytes", "tokens"])
+    return matrix.unanimity(clients, CELL)
 
 
 def pivot_grid(spark, sf_dir):
@@ -213,18 +214,20 @@ k AS (SELECT doc_id, CASE WHEN coalesce(ent < 3, false) AND b AND zz THEN 'br' W
   CASE WHEN coalesce(ent < 3, false) AND b AND zz THEN 'br_content_sample_low_entropy' WHEN zz THEN 'dict_zstd_default' WHEN g THEN dropped WHEN b THEN 'br_fallback_no_gzip' ELSE 'identity_last_resort' END AS reason_code,
   array_to_string(list_filter([CASE WHEN b THEN 'br' END, CASE WHEN g THEN 'gzip' END, CASE WHEN d THEN 'identity' END, CASE WHEN zz THEN 'zstd' END], lambda x: x IS NOT NULL), ',') AS considered FROM r)"""
 _BUCKET = "CASE WHEN strlen(text) <= 300 THEN 'small' WHEN strlen(text) <= 2048 THEN 'medium' ELSE 'large' END"
-_BITS = """b AS (SELECT doc_id, byte, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(hex(text), '..')) AS byte FROM documents) GROUP BY ALL),
-bits AS (SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS bits FROM b GROUP BY doc_id)"""
+_BITS = """r AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+b AS (SELECT rid, byte, count(*) AS c FROM (SELECT rid, unnest(regexp_extract_all(hex(text), '..')) AS byte FROM r) GROUP BY ALL),
+e AS (SELECT rid, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS bits FROM b GROUP BY rid),
+bits AS (SELECT doc_id, text, CASE WHEN text IS NOT NULL THEN coalesce(bits, 0) END AS bits FROM r LEFT JOIN e USING (rid))"""
 _HALF = "(CASE WHEN {0} < power(2, -14) THEN round_even({0}::DOUBLE / power(2, -24), 0) * power(2, -24) ELSE round_even({0}::DOUBLE / power(2, floor(log2({0}::DOUBLE)) - 10), 0) * power(2, floor(log2({0}::DOUBLE)) - 10) END)::FLOAT"
-_VEC = "v AS (SELECT vec_id, label, embedding AS x FROM embeddings WHERE len(embedding) = 64)"
-_SCALES = f"{_VEC}, s AS (SELECT *, list_transform([0, 1, 2, 3], lambda c: {_HALF.format('list_max(list_transform(x[16 * c + 1 : 16 * c + 16], lambda e: abs(e)))')}) AS s FROM v)"
+_VEC = "v AS (SELECT vec_id, label, embedding AS x FROM embeddings)"
+_SCALES = f"{_VEC}, s AS (SELECT *, list_transform([0, 1, 2, 3], lambda c: {_HALF.format('list_max(list_transform(x[len(x) // 4 * c + 1 : len(x) // 4 * (c + 1)], lambda e: abs(e)))')}) AS s FROM v)"
 
 
 def _q(top: int, x: str = "x", s: str = "s") -> str:
-    return f"list_transform({x}, lambda e, i: CASE WHEN {s}[1 + (i - 1) // 16] = 0 THEN 0 ELSE greatest(-{top}, least({top}, round_even(((e / {s}[1 + (i - 1) // 16])::FLOAT * {top}::FLOAT)::FLOAT, 0)))::INT END)"
+    return f"list_transform({x}, lambda e, i: CASE WHEN {s}[1 + (i - 1) // (len({x}) // 4)] = 0 THEN 0 ELSE greatest(-{top}, least({top}, round_even(((e / {s}[1 + (i - 1) // (len({x}) // 4)])::FLOAT * {top}::FLOAT)::FLOAT, 0)))::INT END)"
 
 
-_PACK = "array_to_string(list_transform(range(0, 32), lambda k: substr('0123456789ABCDEF', 1 + (coalesce(q[2 * k + 2], 0) + 16) % 16, 1) || substr('0123456789ABCDEF', 1 + (q[2 * k + 1] + 16) % 16, 1)), '')"
+_PACK = "array_to_string(list_transform(range(0, (len(q) + 1) // 2), lambda k: substr('0123456789ABCDEF', 1 + (coalesce(q[2 * k + 2], 0) + 16) % 16, 1) || substr('0123456789ABCDEF', 1 + (q[2 * k + 1] + 16) % 16, 1)), '')"
 _KEYED = f"""{_SCALES}, k AS (SELECT label AS stream, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq, x, s FROM s),
 f AS (SELECT a.stream, a.seq, a.seq % 4 = 0 AS keyframe, a.x, b.s AS ks, b.x AS kx FROM k a JOIN k b ON a.stream = b.stream AND b.seq = a.seq - a.seq % 4),
 g AS (SELECT stream, seq, keyframe, {_q(127, 'x', 'ks')} AS q, {_q(127, 'kx', 'ks')} AS kq FROM f),
@@ -241,7 +244,7 @@ QUERIES = {
 ORACLES = {
     "accept_encoding_parse": f"WITH {_ACCEPT} SELECT doc_id, header, array_to_string(accepted, ',') AS accepted FROM a",
     "byte_entropy": f"WITH {_BITS} SELECT doc_id, round(bits, 5) AS bits FROM bits",
-    "entropy_buckets": f"WITH {_BITS} SELECT {_BUCKET} AS bucket, count(*) AS n_docs, round(avg(bits), 5) AS mean_bits FROM documents JOIN bits USING (doc_id) GROUP BY 1",
+    "entropy_buckets": f"WITH {_BITS} SELECT {_BUCKET} AS bucket, count(*) AS n_docs, round(avg(bits), 5) AS mean_bits FROM bits GROUP BY 1",
     "pick_encoding": _PICK + " SELECT doc_id, encoding, reason_code, considered FROM k",
     "pick_grid_counts": _PICK + " SELECT encoding, reason_code, count(*) AS n_cells FROM k GROUP BY ALL",
     "negotiate": """WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'dict-zstd' WHEN doc_id % 2 = 0 THEN 'gzip' WHEN doc_id % 5 <> 0 THEN 'identity' END AS chosen FROM documents),
@@ -255,16 +258,16 @@ ORACLES = {
     "latent_scales": f"WITH {_SCALES} SELECT vec_id, unnest([0, 1, 2, 3])::INT AS channel, unnest(s)::DOUBLE AS scale FROM s",
     "quantize_int8": f"WITH {_SCALES} SELECT vec_id, array_to_string({_q(127)}, ',') AS q FROM s",
     "quantize_int4": f"WITH {_SCALES} SELECT vec_id, array_to_string({_q(7)}, ',') AS q FROM s",
-    "dequantize_error": f"WITH {_SCALES}, t AS (SELECT vec_id, x, s, {_q(127)} AS q FROM s) SELECT vec_id, round(list_max(list_transform(x, lambda e, i: abs(e::DOUBLE - ((q[i]::FLOAT * s[1 + (i - 1) // 16])::FLOAT / 127::FLOAT)::DOUBLE))), 6) AS worst_error FROM t",
-    "int4_pack_hex": f"WITH {_SCALES}, t AS (SELECT vec_id, ({_q(7)})[1:63] AS q FROM s) SELECT vec_id, {_PACK} AS packed FROM t",
-    "int4_unpack": f"WITH {_SCALES} SELECT vec_id, array_to_string(({_q(7)})[1:63], ',') AS q FROM s",
+    "dequantize_error": f"WITH {_SCALES}, t AS (SELECT vec_id, x, s, {_q(127)} AS q FROM s) SELECT vec_id, round(list_max(list_transform(x, lambda e, i: abs(e::DOUBLE - ((q[i]::FLOAT * s[1 + (i - 1) // (len(x) // 4)])::FLOAT / 127::FLOAT)::DOUBLE))), 6) AS worst_error FROM t",
+    "int4_pack_hex": f"WITH {_SCALES}, t AS (SELECT vec_id, ({_q(7)})[1:len(x) - 1] AS q FROM s) SELECT vec_id, {_PACK} AS packed FROM t",
+    "int4_unpack": f"WITH {_SCALES} SELECT vec_id, array_to_string(({_q(7)})[1:len(x) - 1], ',') AS q FROM s",
     "delta_keyframe_residual": f"WITH {_KEYED} SELECT stream, seq, array_to_string(data, ',') AS data FROM r",
     "delta_reconstruct": f"WITH {_KEYED} SELECT stream, seq, array_to_string(CASE WHEN keyframe THEN data ELSE list_transform(data, lambda e, i: greatest(-127, least(127, e + kq[i]))) END, ',') AS q FROM r",
     "pipeline_rejections": """WITH a AS (SELECT vec_id, label, (['raw', 'int8', 'int4', 'int8-adaptive', 'int4-adaptive', 'delta+int8', 'delta+int4', 'zip'])[1 + vec_id % 8] AS pipeline FROM embeddings)
       SELECT vec_id, pipeline, CASE WHEN pipeline = 'zip' THEN 'unknown pipeline' WHEN (label, pipeline) NOT IN (SELECT (label, pipeline) FROM a WHERE label % 2 = 0) THEN 'not offered'
         WHEN vec_id % 2 = 0 AND starts_with(pipeline, 'delta') THEN 'delta needs a stream of frames' WHEN pipeline IN ('int8', 'int4') AND vec_id % 3 <> 0 THEN 'static scales are missing' END AS reason FROM a""",
     "median_matrix": f"WITH {_BENCH} SELECT engine, size, encoding, lang, median(wire_bytes)::DOUBLE AS wire_bytes, round(median(ttft_ms), 6) AS ttft_ms, count(*) AS n_reps FROM bench GROUP BY ALL",
-    "unanimity": f"WITH {_BENCH} SELECT engine, size, encoding, lang, wire_bytes, count(DISTINCT wire_bytes) = 1 AS wire_unanimous, count(DISTINCT tokens) = 1 AND count(error) = 0 AS decode_unanimous, count(*) AS n_rows FROM bench GROUP BY engine, size, encoding, lang, wire_bytes",
+    "unanimity": f"WITH {_BENCH} SELECT engine, size, encoding, count(DISTINCT w) = 1 AS wire_unanimous, count(DISTINCT t) = 1 AND sum(e) = 0 AS decode_unanimous, count(*) AS n_rows FROM (SELECT engine, size, encoding, lang, median(wire_bytes) AS w, median(tokens) AS t, count(error) AS e FROM bench GROUP BY ALL) GROUP BY engine, size, encoding",
     "pivot_grid": f"WITH {_BENCH} SELECT engine, lang, size, " + ", ".join(f"min(wire_bytes) FILTER (encoding = '{e}') AS {e}" for e in ("identity", "gzip", "zstd")) + " FROM bench GROUP BY engine, lang, size",
     "headline_ratio": f"WITH {_BENCH}, c AS (SELECT engine, size, encoding, max(wire_bytes) AS w FROM bench GROUP BY ALL) SELECT c.engine, c.size, c.encoding, round(b.w / c.w, 6) AS ratio FROM c JOIN c b ON b.engine = c.engine AND b.encoding = 'identity' AND b.size = 1",
     "quarantine": f"WITH {_BENCH}, r AS (SELECT engine, run_id, min(fingerprint) AS fingerprint FROM bench GROUP BY ALL), f AS (SELECT *, first_value(fingerprint) OVER (PARTITION BY engine ORDER BY run_id) AS canonical FROM r) SELECT engine, run_id, fingerprint, canonical FROM f WHERE fingerprint <> canonical",

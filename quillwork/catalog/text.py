@@ -122,7 +122,7 @@ def translation_table_stats(spark, sf_dir):
 def derive_merges(spark, sf_dir):
     """Merges of a vocabulary of word beginnings, ranked by length and text."""
     words = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).filter("w <> ''").distinct()
-    heads = words.select(F.explode(F.sequence(F.lit(1), F.least(F.length("w"), F.lit(6)))).alias("n"), "w").select(F.expr("substring(w, 1, n)").alias("token"))
+    heads = words.select(F.explode(F.sequence(F.lit(1), F.length("w"))).alias("n"), "w").select(F.expr("substring(w, 1, n)").alias("token"))
     chars = words.select(F.explode(F.split("w", "")).alias("token"))
     tokens = heads.union(chars).filter("token <> ''").distinct()
     ranked = tokens.withColumn("rank", (F.row_number().over(Window.orderBy(F.length("token"), "token")) - 1).cast("long"))
@@ -155,7 +155,7 @@ ORACLES = {
     "metaspace_normalize": f"SELECT doc_id, sha256(CASE WHEN starts_with(t, '{pretok.META}') THEN t ELSE '{pretok.META}' || t END) AS text_sha256 FROM (SELECT doc_id, replace(text, ' ', '{pretok.META}') AS t FROM documents)",
     "byte_level_chars": f"SELECT item_id, array_to_string(list_transform(regexp_extract_all(hex(text), '..'), lambda h: ({_CHARS})[1 + 16 * (instr('0123456789ABCDEF', h[1]) - 1) + instr('0123456789ABCDEF', h[2]) - 1]), '') AS chars FROM benchmark",
     "vocab_lookup_byte_fallback": f"WITH {_TOP} SELECT doc_id, sum(CASE WHEN id IS NULL THEN strlen(word) ELSE 1 END)::BIGINT AS n_ids, count(id) AS n_known FROM words LEFT JOIN top USING (word) GROUP BY doc_id",
-    "derive_merges": """WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark), t AS (SELECT DISTINCT token FROM (SELECT unnest(list_transform(range(1, least(length(w), 6) + 1), lambda n: w[1:n])) AS token FROM w
+    "derive_merges": """WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark), t AS (SELECT DISTINCT token FROM (SELECT unnest(list_transform(range(1, length(w) + 1), lambda n: w[1:n])) AS token FROM w
       UNION ALL SELECT unnest(string_split(w, '')) FROM w) WHERE token <> ''), v AS (SELECT token, row_number() OVER (ORDER BY length(token), token) - 1 AS rank FROM t),
       c AS (SELECT token, rank, k, token[1:k] AS l, token[k + 1:] AS r FROM (SELECT token, rank, unnest(range(1, length(token))) AS k FROM v)),
       b AS (SELECT c.rank, c.token, l AS "left", r AS "right", row_number() OVER (PARTITION BY c.token ORDER BY greatest(a.rank, b.rank), k) AS n FROM c JOIN v a ON a.token = l JOIN v b ON b.token = r WHERE a.rank < c.rank AND b.rank < c.rank)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gzip
-import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -85,12 +86,18 @@ def negotiate(client: Column, server: Column, tier: Column) -> Column:
     return F.struct(F.when(error.isNull(), chosen).alias("chosen"), error.alias("error"))
 
 
-def byte_entropy(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bits): Shannon entropy of each text's bytes.  Counts are combined before they are shuffled."""
-    counts = rows.select(key, F.explode(F.regexp_extract_all(F.hex(text), F.lit(".."), 0)).alias("byte")).groupBy(key, "byte").agg(F.count("*").alias("c"))
-    # sum(-p log p) from two sums, so no join back is needed.
-    sums = counts.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
-    return sums.select(key, (F.log2("n") - F.col("s") / F.col("n")).alias("bits"))
+def byte_entropy(text: Column) -> Column:
+    """Shannon entropy of a text's bytes in bits; 0 for an empty text, null for null.  Bytes are counted inside their row."""
+
+    def bits(raw: str | None) -> float | None:
+        if raw is None:
+            return None
+        counts = np.bincount(np.frombuffer(raw.encode("utf-8", "surrogatepass"), np.uint8)).astype(float)
+        counts = counts[counts > 0]
+        n = counts.sum()
+        return float(np.log2(n) - (counts * np.log2(counts)).sum() / n) if n else 0.0
+
+    return F.pandas_udf(lambda texts: texts.map(bits), T.DoubleType())(text)
 
 
 def bucket(size: Column) -> Column:
@@ -124,34 +131,45 @@ def zstd_length(data: Column, level: int = 3, dictionary: bytes | None = None) -
     return compressed_length(make, data)
 
 
-def train_dictionaries(samples: DataFrame, sizes: tuple[int, ...] = (4096, 16384, 65536), seed: int = 7, most: int = 100_000) -> DataFrame:
+def train_dictionaries(samples: DataFrame, sizes: tuple[int, ...] = (4096, 16384, 65536), seed: int = 7, most: int = 20_000) -> DataFrame:
     """(kind, dict_size, dictionary, baseline_avg, with_dict_avg, gain_pct) for each kind of samples(kind, data).
 
-    Four fifths train, one fifth is held out.  A dictionary needs few samples, so a
-    kind gives at most `most`, in the order of a hash; that bounds the group.
+    A hash deals four fifths of the samples to training and holds out one fifth.  A
+    dictionary needs few samples, so it is fitted on about `most` of a kind at most, in
+    the order of the hash; baseline and gain are measured on all that are held out.
     """
-    from pyspark.sql import Window
-
-    picked = samples.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("data")))).filter(F.col("_r") <= most)
-
-    def train(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        data = sorted(bytes(b) for b in group["data"])
-        random.Random(seed).shuffle(data)
-        cut = max(1, len(data) * 4 // 5)
-        held = data[cut:] or data[:1]
-        plain = sum(len(zstandard.ZstdCompressor(level=3).compress(b)) for b in held) / len(held)
+    dealt = samples.select("kind", "data", F.xxhash64(F.lit(seed), "data").alias("_h"))
+    held = F.pmod("_h", F.lit(5)) == 0
+    sizes_of = dealt.filter(~held).groupBy(F.col("kind").alias("_k")).agg(F.count("*").alias("_n"))
+    # A row a kind.
+    share = F.shiftrightunsigned("_h", 1) / F.lit(float(1 << 63)) <= F.lit(float(most)) / F.col("_n")
+    taken = dealt.filter(~held).join(F.broadcast(sizes_of), F.col("kind").eqNullSafe(F.col("_k"))).filter(share).select("kind", "data")
+
+    def train(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for size in sizes:
-            try:
-                trained = zstandard.train_dictionary(size, data[:cut])
-            except zstandard.ZstdError:  # too few samples for a dictionary of this size
-                continue
-            how = zstandard.ZstdCompressor(level=3, dict_data=trained)
-            with_dict = sum(len(how.compress(b)) for b in held) / len(held)
-            out.append((key[0], size, trained.as_bytes(), plain, with_dict, 100 * (1 - with_dict / plain)))
-        return pd.DataFrame(out, columns=["kind", "dict_size", "dictionary", "baseline_avg", "with_dict_avg", "gain_pct"])
-
-    return picked.groupBy("kind").applyInPandas(train, "kind string, dict_size long, dictionary binary, baseline_avg double, with_dict_avg double, gain_pct double")
+            with contextlib.suppress(zstandard.ZstdError):  # too few samples for a dictionary of this size
+                out.append((group["kind"].iloc[0], size, zstandard.train_dictionary(size, sorted(map(bytes, group["data"]))).as_bytes()))
+        return pd.DataFrame(out, columns=["kind", "dict_size", "dictionary"])
+
+    trained = taken.groupBy("kind").applyInPandas(train, "kind string, dict_size long, dictionary binary")
+    made = {(r.kind, r.dict_size): bytes(r.dictionary) for r in trained.collect()}  # len(sizes) a kind
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = zstandard.ZstdCompressor(level=3)
+        with_ = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d)) for k, d in made.items()}
+        for batch in batches:
+            rows = []
+            for kind, data in zip(batch["kind"], batch["data"]):
+                base = len(plain.compress(bytes(data)))
+                rows += [(kind, size, base, len(how.compress(bytes(data)))) for (k, size), how in with_.items() if k == kind or k is kind]
+            yield pd.DataFrame(rows, columns=["kind", "dict_size", "base", "with_dict"])
+
+    sized = dealt.filter(held).select("kind", "data").mapInPandas(measure, "kind string, dict_size long, base long, with_dict long")
+    means = sized.groupBy("kind", "dict_size").agg(F.avg("base").alias("baseline_avg"), F.avg("with_dict").alias("with_dict_avg"))
+    table = samples.sparkSession.createDataFrame([(*k, bytearray(d)) for k, d in made.items()], "kind string, dict_size long, dictionary binary")
+    out = table.join(means, ["kind", "dict_size"])
+    return out.withColumn("gain_pct", 100 * (1 - F.col("with_dict_avg") / F.col("baseline_avg")))
 
 
 def winners(trained: DataFrame) -> DataFrame:

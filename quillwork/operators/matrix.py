@@ -23,11 +23,16 @@ def medians(rows: DataFrame, cell: list[str], values: list[str]) -> DataFrame:
     return rows.groupBy(*cell).agg(*[F.median(v).alias(v) for v in values], F.count("*").alias("n_reps"))
 
 
-def unanimity(rows: DataFrame, cell: list[str]) -> DataFrame:
-    """Whether all clients of a cell saw the same bytes, and the same tokens without any error."""
-    return rows.groupBy(*cell).agg(
+def client_medians(rows: DataFrame, cell: list[str], client: str, values: list[str]) -> DataFrame:
+    """A row for each client of a cell: medians of its runs, and its number of errors."""
+    return rows.groupBy(*cell, client).agg(*[F.median(v).alias(v) for v in values], F.count("error").alias("errors"))
+
+
+def unanimity(clients: DataFrame, cell: list[str]) -> DataFrame:
+    """Whether all clients of a cell, a row each, saw the same bytes, and the same tokens without any error."""
+    return clients.groupBy(*cell).agg(
         (F.count_distinct("wire_bytes") == 1).alias("wire_unanimous"),
-        ((F.count_distinct("tokens") == 1) & (F.count_if(F.col("error").isNotNull()) == 0)).alias("decode_unanimous"),
+        ((F.count_distinct("tokens") == 1) & (F.sum("errors") == 0)).alias("decode_unanimous"),
         F.count("*").alias("n_rows"),
     )
 
@@ -50,8 +55,8 @@ def synthetic_headline(rows: DataFrame) -> DataFrame:
 
 def quarantine(rows: DataFrame) -> DataFrame:
     """Rows whose fingerprint differs from the first of their engine."""
-    first = Window.partitionBy("engine").orderBy("run_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn("canonical", F.first("fingerprint").over(first)).filter(F.col("fingerprint") != F.col("canonical"))
+    first = rows.groupBy("engine").agg(F.min_by("fingerprint", "run_id").alias("canonical"))
+    return rows.join(first, "engine").filter(F.col("fingerprint") != F.col("canonical"))
 
 
 def errored(rows: DataFrame) -> DataFrame:
