@@ -5,8 +5,9 @@ instruction with input and output, a from/value conversation list, or one row a
 turn.  A layout's fingerprint is the SHA-256 of its sorted nested field paths.
 A registry maps fingerprints to declarative mappings, each a list of turns whose
 roles and texts are column expressions, so adding a layout adds an entry, not
-code.  JSON records are fingerprinted row by row, by the paths of their parsed
-form; typed tables by their schema.
+code.  Only paths that some layout names are hashed, so further fields don't matter.
+JSON records are fingerprinted row by row, by their keys and those of the first object
+in each list; typed tables by their schema.
 
 The template writes every turn as ``<|turn|>role<|text|>text<|end|>``.  Roles and
 texts are escaped so that no control string, neither the template's nor one of
@@ -59,14 +60,17 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-def json_shape(raw: Column) -> Column:
-    """Shape of a JSON text: the variant's schema with scalar types left out; null if it doesn't parse."""
-    shape = F.schema_of_variant(F.try_parse_json(raw))
-    return F.regexp_replace(shape, r": (?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\))", "")
+def json_paths(raw: Column) -> Column:
+    """Nested field paths of a JSON record: its keys, and for lists of objects the keys of the first; null if it isn't an object."""
+    first = lambda k: F.call_function("get_json_object", raw, F.concat(F.lit("$['"), k, F.lit("'][0]")))
+    inner = lambda k: F.transform(F.json_object_keys(first(k)), lambda n: F.concat(k, F.lit("[]."), n))
+    return F.flatten(F.transform(F.json_object_keys(raw), lambda k: F.coalesce(inner(k), F.array(k))))
 
 
 def json_fingerprint(raw: Column) -> Column:
-    return F.sha2(json_shape(raw), 256)
+    """Fingerprint of the paths that some layout names; fields that none does don't matter."""
+    known = F.array(*map(F.lit, sorted({p for paths, _ in LAYOUTS.values() for p in paths})))
+    return F.sha2(F.array_join(F.array_sort(F.array_intersect(known, json_paths(raw))), "\n"), 256)
 
 
 def turn_of(role: Column, text: Column) -> Column:
@@ -103,39 +107,52 @@ def _fixed(*pairs: tuple[str, tuple[str, ...]]) -> Callable[[Column], Column]:
     return turns
 
 
-#: JSON layouts: an example of the shape, whose fingerprint is the key, and the mapping to turns.
-LAYOUTS: dict[str, tuple[str, Callable[[Column], Column]]] = {
-    "messages": ("OBJECT<messages: ARRAY<OBJECT<content, role>>>", _listed("messages", "role", "content")),
-    "conversations": (
-        "OBJECT<conversations: ARRAY<OBJECT<from, value>>>",
-        _listed("conversations", "from", "value", {"human": "user", "gpt": "assistant"}),
-    ),
-    "prompt_completion": ("OBJECT<completion, prompt>", _fixed(("user", ("prompt",)), ("assistant", ("completion",)))),
-    "prompt_response": ("OBJECT<prompt, response>", _fixed(("user", ("prompt",)), ("assistant", ("response",)))),
-    "instruction": ("OBJECT<input, instruction, output>", _fixed(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    "instruction_only": ("OBJECT<instruction, output>", _fixed(("user", ("instruction",)), ("assistant", ("output",)))),
-    "question_answer": ("OBJECT<answer, question>", _fixed(("user", ("question",)), ("assistant", ("answer",)))),
+_MESSAGES = _listed("messages", "role", "content")
+_CONVERSATIONS = _listed("conversations", "from", "value", {"human": "user", "gpt": "assistant"})
+#: JSON layouts: nested field paths, whose fingerprint is the key, and the mapping to turns.
+LAYOUTS: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]] = {
+    "messages": (("messages[].role", "messages[].content"), _MESSAGES),
+    "no_messages": (("messages",), _MESSAGES),
+    "conversations": (("conversations[].from", "conversations[].value"), _CONVERSATIONS),
+    "no_conversations": (("conversations",), _CONVERSATIONS),
+    "prompt_completion": (("prompt", "completion"), _fixed(("user", ("prompt",)), ("assistant", ("completion",)))),
+    "prompt_response": (("prompt", "response"), _fixed(("user", ("prompt",)), ("assistant", ("response",)))),
+    "instruction": (("instruction", "input", "output"), _fixed(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    "instruction_only": (("instruction", "output"), _fixed(("user", ("instruction",)), ("assistant", ("output",)))),
+    "question_answer": (("question", "answer"), _fixed(("user", ("question",)), ("assistant", ("answer",)))),
 }
-#: Typed tables: paths of the needed columns, and which of them hold conversation, order, role and text.
-TABLES = {fingerprint(["conv_id", "turn", "role", "text"]): ("conv_id", "turn", "role", "text")}
+#: Typed tables: nested field paths, and which of them hold conversation, order, role and text.
+TABLES = {fingerprint(list(paths)): paths for paths in (("conv_id", "turn", "role", "text"), ("conversation", "position", "speaker", "utterance"))}
 
 
 def turns_of_json(raw: Column) -> Column:
     """Canonical turns of JSON records, by the fingerprint of each; null where no layout is registered."""
     print_ = json_fingerprint(raw)
     out = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for shape, mapping in LAYOUTS.values():
-        out = F.when(print_ == hashlib.sha256(shape.encode()).hexdigest(), mapping(raw)).otherwise(out)
+    for paths, mapping in LAYOUTS.values():
+        out = F.when(print_ == fingerprint(list(paths)), mapping(raw)).otherwise(out)
     return out
 
 
-def turns_of_table(rows: DataFrame, wanted: tuple[str, ...] = ("conv_id", "turn", "role", "text")) -> DataFrame:
+def as_messages(turns: Column) -> Column:
+    """A JSON record of turns in the layout "messages"."""
+    return F.to_json(F.struct(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+
+
+def as_conversations(turns: Column) -> Column:
+    """A JSON record of turns in the layout "conversations"."""
+    name = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    return F.to_json(F.struct(F.transform(turns, lambda t: F.struct(name(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations")))
+
+
+def turns_of_table(rows: DataFrame) -> DataFrame:
     """One row a conversation, (conv_id, turns), from a table with one row a turn.
 
-    The mapping is selected by the fingerprint of the wanted columns' paths; other
-    columns don't matter.
+    The mapping is selected by the fingerprint of those columns' paths that some
+    layout names; other columns don't matter.
     """
-    paths = [p for f in rows.schema.fields if f.name in wanted for p in paths_of(f.dataType, f.name)]
+    known = {p for paths in TABLES.values() for p in paths}
+    paths = [p for p in paths_of(rows.schema) if p in known]
     if (found := TABLES.get(fingerprint(paths))) is None:
         raise ValueError(f"no mapping for a table with the paths {sorted(paths)}")
     conv, turn, role, text = map(F.col, found)

@@ -12,6 +12,8 @@ from quillwork.plans.spread import spread
 from quillwork.plans.streams import read
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Characters of a conversation up to which it is written as JSON.
+JSON_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,14 +59,22 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(said).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    made = chat.turns_of_table(rows).select("conv_id", chat.render(F.col("turns")).alias("r"))
+    told = chat.turns_of_table(rows)
+    # Conversations become records of two layouts, in turn, and are read by their fingerprints.  JSON readers bound the
+    # length of a text, so very long conversations stay in the table's layout, as do those that use the other layout's names for roles.
+    size = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"]))
+    plain = F.exists("turns", lambda t: t["role"].isin("human", "gpt")) | (size > JSON_CHARS)
+    record = F.when(plain, None).when(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0, chat.as_messages(F.col("turns"))).otherwise(chat.as_conversations(F.col("turns")))
+    told = told.select("conv_id", F.when(plain, F.col("turns")).alias("own"), record.alias("record"))
+    turns = F.coalesce("own", chat.turns_of_json(F.col("record")))
+    made = told.select("conv_id", chat.render(turns).alias("r"))
     made = made.select("conv_id", "r.formatted", "r.loss")
     back = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("masked"))
-    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(told, 256).alias("turns_sha256"),
+        F.sha2(lines, 256).alias("turns_sha256"),
         F.length("masked").cast("long").alias("loss_chars"),
         F.sha2("masked", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),

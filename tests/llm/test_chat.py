@@ -51,6 +51,38 @@ def test_layouts_by_fingerprint(spark):
         assert (None if r.t is None else [tuple(t) for t in r.t]) == want, r
 
 
+def test_further_fields_empty_lists_and_scalars_of_any_kind(spark):
+    want = [("user", "q"), ("assistant", "a")]
+    records = [
+        ({"id": 7, "source": {"x": [1.5]}, "messages": [{"role": "user", "content": "q", "weight": 1}, {"role": "assistant", "content": "a"}]}, want),
+        ({"messages": [], "n": 2**70}, []), ({"conversations": []}, []), ({"prompt": "q", "completion": "a", "score": 0.5, "ok": True, "none": None}, want),
+        ({"prompt": "q", "completion": "a", "response": "b"}, None), ({"a.b['c']": 1}, None), ([1], None),
+    ]
+    rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(records)]
+    got = spark.createDataFrame(rows, "i int, raw string").select("i", chat.turns_of_json(F.col("raw")).alias("t")).collect()
+    for r in got:
+        assert (None if r.t is None else [tuple(t) for t in r.t]) == records[r.i][1], r
+
+
+def test_records_of_both_layouts_read_back(spark):
+    rows = [(1, i, ("user", "assistant", "system", "<|end|>")[i % 4], t) for i, t in enumerate([*NASTY, "\u0000\u2028\ufeff", '"}]', "x" * 300_000])]
+    told = chat.turns_of_table(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    for write in (chat.as_messages, chat.as_conversations):
+        r = told.select("turns", chat.turns_of_json(write(F.col("turns"))).alias("back")).first()
+        assert r.back == r.turns
+
+
+def test_long_conversations(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} </s>") for i in range(5_000)] + [(2, 0, "assistant", "<|" * 500_000)]
+    for r in formatted(spark, rows):
+        assert r.back == r.turns and r.masked == "".join(t.text for t in r.turns if t.role == "assistant")
+
+
+def test_a_table_with_other_names(spark):
+    df = spark.createDataFrame([("c", 2, "assistant", "b", 1), ("c", 1, "user", "a", 1)], "conversation string, position int, speaker string, utterance string, more int")
+    assert [tuple(t) for t in chat.turns_of_table(df).first().turns] == [("user", "a"), ("assistant", "b")]
+
+
 def test_unknown_table_and_empty(spark):
     import pytest
 
