@@ -2,14 +2,16 @@
 
 Executors can be lost at any time, so intermediate results that several later
 jobs read are written as Parquet below the folder that the session names in
-``spark.checkpoint.dir``.  Only where that setting is absent (unit tests, a
-laptop) a folder of our own is used.
+``spark.checkpoint.dir``.  Only where that setting is absent and Spark runs
+in one process (unit tests, a laptop) a folder of our own is used; a cluster has to name one.
 """
 
 from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +21,20 @@ from quillwork.plans.ship import ship
 #: Used only where the session names no shared folder.
 LOCAL_SHARED = "/tmp/checkpoints/quillwork"
 
+#: Paths of tables made inside scratch(), innermost last.
+_scopes: list[list[str]] = []
+
 #: Rows up to which a side counts as small; callers keep such rows narrow.
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application, without a trailing slash."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_SHARED
     return f"{base.rstrip('/')}/quillwork-{spark.sparkContext.applicationId}"
 
 
@@ -45,9 +54,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if _scopes:
+        _scopes[-1].append(path)
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end what was materialized inside, but for the tables handed to the function it yields."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df._written)
+        return df
+
+    _scopes.append(paths)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            drop_path(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what materialize() wrote for df, once nothing reads it any more."""
     drop_path(df.sparkSession, df._written)
