@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.plans.materialize import materialize
+from quillwork.plans.materialize import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
-            return links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+            out = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+            out._written = links._written
+            return out
         state = now
         both = links.select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(links.select("lo", "hi"))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
@@ -28,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("hi <> lo").distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e"))
-        links = materialize(small.select("e.hi", "e.lo").filter("hi <> lo").distinct(), "links")
+        before, links = links, materialize(small.select("e.hi", "e.lo").filter("hi <> lo").distinct(), "links")
+        discard(before)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.llm.words import MARKS, ascii_lower, between
-from quillwork.plans.materialize import broadcast_if_small, materialize
+from quillwork.plans.materialize import broadcast_if_small, materialize, scratch
 
 WIDTH = 10
 ANCHORS = 2
@@ -107,7 +107,8 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = 0
     else:
         meet = lists.select("key", "item", "offset", shift.alias("at"))
     met = meet.groupBy("key", "item", "at").agg(F.count_distinct("offset").alias("n"))
-    found = met.join(broadcast_if_small(items_), "item")
+    # Items carry whole texts, so they are joined by shuffling unless Spark knows them to be small.
+    found = met.join(items_, "item")
     found = found.filter(F.col("n") >= F.least(F.lit(ANCHORS), F.size("item_words")))
     found = materialize(found.select("key", "item", "item_id", "item_words", "at").distinct(), "bench-candidates")
 
@@ -163,8 +164,9 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without the rows that hold a window of an item."""
-    _, hits = matches(docs, items, width)
-    # Keys of contaminated documents only; counted before they are broadcast.
-    bad = broadcast_if_small(materialize(hits.select("key").distinct(), "bench-bad"))
+    with scratch(docs.sparkSession) as keep:
+        _, hits = matches(docs, items, width)
+        bad = keep(materialize(hits.select("key").distinct(), "bench-bad"))
+    bad = broadcast_if_small(bad)  # keys of contaminated documents only, counted before
     keyed = docs.select(F.struct(*docs.columns).alias("_doc"), row_key().alias("key"))
     return keyed.join(bad, "key", "left_anti").select("_doc.*")

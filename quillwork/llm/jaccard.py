@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quillwork.llm.components import components
 from quillwork.llm.shingles import row_key, with_sets
-from quillwork.plans.materialize import broadcast_if_small, discard, materialize, release
+from quillwork.plans.materialize import broadcast_if_small, discard, materialize, release, scratch
 
 WIDTH, PERCENT = 3, 90
 #: Hub rounds before all remaining pairs are made; any number gives the same result.
@@ -124,7 +124,11 @@ def links(full: DataFrame, percent: int, hub_rounds: int = HUB_ROUNDS) -> DataFr
     def merged(more: DataFrame) -> DataFrame:
         nonlocal found
         new = materialize(verify(more, full, percent), "jaccard-links")
-        found = new if found is None else materialize(found.union(new), "jaccard-links")
+        if found is not None:
+            old, part, new = found, new, materialize(found.union(new), "jaccard-links")
+            discard(old)
+            discard(part)
+        found = new
         return components(found)
 
     for turn in range(hub_rounds + 1):
@@ -165,8 +169,13 @@ def links(full: DataFrame, percent: int, hub_rounds: int = HUB_ROUNDS) -> DataFr
             two = named_members.select(F.col("gid").alias("g2"), F.col("sid").alias("b"), F.col("comp").alias("cb"))
             expanded = group_pairs.union(split).join(one, "g1").join(two, "g2").filter("ca <> cb and a <> b")
             pairs = expanded.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        labels = merged(materialize(pairs, "jaccard-pairs"))
+        pairs = materialize(pairs, "jaccard-pairs")
+        before, labels = labels, merged(pairs)
+        for done in (pairs, named_members, *([] if before is None else [before])):
+            discard(done)
         release(spark)
+    for done in (entries, groups, members, posted):
+        discard(done)
     return labels
 
 
@@ -213,7 +222,8 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component; rows with empty sets stay, all of them."""
-    marked = materialize(joined(docs, width, percent), "jaccard-marked")
+    with scratch(docs.sparkSession) as keep:
+        marked = keep(materialize(joined(docs, width, percent), "jaccard-marked"))
     gone = marked.filter(F.col("key") != F.col("first")).select("key").distinct()
     again = marked.filter((F.col("key") == F.col("first")) & (F.col("n_shingles") > 0)).groupBy("key").count().filter("count > 1").select("key")
     gone, again = materialize(gone, "jaccard-gone"), materialize(again, "jaccard-again")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillwork.llm.rows import expanded
 from quillwork.llm.words import spaced_count
-from quillwork.plans.materialize import broadcast_if_small, materialize
+from quillwork.plans.materialize import broadcast_if_small, materialize, scratch
 from quillwork.plans.ranks import bucket_of, running
 
 WEIGHTS = (1, 2, 3)
@@ -93,6 +93,16 @@ def planned(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: st
     return summed.withColumns({"epochs": whole, "rest": budget - whole * F.col("source_size")})
 
 
+def cuts_of(rows: DataFrame) -> DataFrame:
+    """A row a source of planned() rows: its epochs, and the last documents that begin before its cut."""
+    # Of equal documents, those that begin before the cut.
+    begun = F.least(F.col("copies"), F.ceil((F.col("rest") - F.col("before")) / F.col("size")).cast("long"))
+    begun = F.when((F.col("size") > 0) & (F.col("rest") > F.col("before")), begun)
+    cut = F.max(F.when(begun.isNotNull(), F.struct(*ORDER, begun.alias("begun"), "copies")))
+    cuts = rows.groupBy("source").agg(F.max("epochs").alias("_epochs"), cut.alias("_cut"))
+    return materialize(cuts.withColumnRenamed("source", "_s"), "mix-cuts")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -125,13 +135,8 @@ def compose(
     have nothing to weigh and stay once.  All that a row needs to know is where its
     source's cut lies, a row a source, so texts are not shuffled.
     """
-    rows = planned(docs, weights, max_epochs, seed, rows_per_bucket)
-    # Of equal documents, those that begin before the cut.
-    begun = F.least(F.col("copies"), F.ceil((F.col("rest") - F.col("before")) / F.col("size")).cast("long"))
-    begun = F.when((F.col("size") > 0) & (F.col("rest") > F.col("before")), begun)
-    cut = F.max(F.when(begun.isNotNull(), F.struct(*ORDER, begun.alias("begun"), "copies")))
-    cuts = rows.groupBy("source").agg(F.max("epochs").alias("_epochs"), cut.alias("_cut"))
-    cuts = materialize(cuts.withColumnRenamed("source", "_s"), "mix-cuts")
+    with scratch(docs.sparkSession) as keep:
+        cuts = keep(cuts_of(planned(docs, weights, max_epochs, seed, rows_per_bucket)))
     placed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("source").alias("_source"), F.struct(*order_columns(seed)).alias("_at"))
     # A row a source, counted before it is broadcast.
     told = placed.join(broadcast_if_small(cuts), F.col("_source").eqNullSafe(F.col("_s")))

@@ -105,4 +105,23 @@ ranked AS (
 SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
 
-ORACLES = {"op1_mixing": OP1, "op2_warc": OP2, "op5_topk": OP5, "op4_decontamination": OP4, "op8_chat": OP8}
+# Shingles as texts, pairs by an inverted join, and all documents that links reach.
+OP3 = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+sets AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE
+    list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s
+  FROM docs),
+tokens AS (SELECT rid, len(s) AS n, unnest(s) AS h FROM sets),
+pairs AS (SELECT a.rid AS x, b.rid AS y, any_value(a.n) + any_value(b.n) AS both_n, count(*) AS c FROM tokens a JOIN tokens b ON a.h = b.h AND a.rid < b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 100 * c >= 90 * (both_n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT rid, rid AS seen FROM sets UNION SELECT r.rid, e.y FROM reach r JOIN edges e ON r.seen = e.x)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM sets JOIN reach USING (rid) JOIN sets o ON o.rid = reach.seen GROUP BY sets.rid, sets.doc_id, len(sets.s)
+"""
+
+ORACLES = {"op1_mixing": OP1, "op3_jaccard": OP3, "op2_warc": OP2, "op5_topk": OP5, "op4_decontamination": OP4, "op8_chat": OP8}
