@@ -40,7 +40,7 @@ from quillwork.llm.packed import append_columns, batch_bytes, pieces, word_spans
 from quillwork.llm.words import fold_of
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-SAMPLE_ROWS, SAMPLE_CHARS = 9_000, 40_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 9_000, 16_000_000
 WINDOW_WORDS, STEP_WORDS = 16, 8
 #: Bytes of the ordinary dictionary, of the first toxic one and of the later ones at most, and at most one byte for so many of text.
 ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 250_000, 32_768, 4_096
@@ -51,6 +51,8 @@ ORDINARY_SEGMENT, TOXIC_SEGMENT, MATCH = 64, 16, 8
 LEAST_BYTES = 256
 ROUNDS = 3
 CHOICE, QUANTILES = 0.99, (0.9, 0.98, 0.998)
+#: Windows that are compressed at once.
+MOST_WINDOWS = 1 << 16
 #: A-Z lowered, white space to blanks.
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
@@ -75,8 +77,8 @@ def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def dictionary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, share: int, segment: int) -> bytes:
     """A dictionary that zstandard trains on the given windows, each with the blank before it."""
     size = min(size, max(LEAST_BYTES, int((ends - starts).sum()) // share))
-    raw = data.tobytes()
-    samples = [raw[max(i - 1, 0) : j] for i, j in zip(starts.tolist(), ends.tolist()) if j - i >= MATCH]
+    raw = memoryview(data)
+    samples = [bytes(raw[max(i - 1, 0) : j]) for i, j in zip(starts.tolist(), ends.tolist()) if j - i >= MATCH]
     try:
         return zstandard.train_dictionary(size, samples, k=segment, d=MATCH).as_bytes()
     except zstandard.ZstdError:  # too little text
@@ -98,8 +100,11 @@ def lengths(how: zstandard.ZstdCompressor, data: np.ndarray, starts: np.ndarray,
     if not len(starts):
         return np.zeros(0, np.int64)
     places = np.stack([starts, ends - starts], 1).astype(np.uint64)
-    out = how.multi_compress_to_buffer(zstandard.BufferWithSegments(data.tobytes(), places.tobytes()))
-    return np.fromiter(map(len, out), np.int64, len(out))
+    out = np.empty(len(starts), np.int64)
+    for i in range(0, len(out), MOST_WINDOWS):
+        made = how.multi_compress_to_buffer(zstandard.BufferWithSegments(data, places[i : i + MOST_WINDOWS].tobytes()))
+        out[i : i + MOST_WINDOWS] = np.fromiter(map(len, made), np.int64, len(made))
+    return out
 
 
 def describe(saved: np.ndarray, row: np.ndarray, n_rows: int, thresholds: list[int], expected: list[float]) -> np.ndarray:
@@ -116,7 +121,15 @@ def describe(saved: np.ndarray, row: np.ndarray, n_rows: int, thresholds: list[i
 
 def train(examples: list[tuple[str, int]]) -> dict:
     y = np.array([label == 1 for _, label in examples], float)
-    data, starts, ends, row = windows(pa.array([t for t, _ in examples], pa.large_string()))
+    texts = pa.RecordBatch.from_arrays([pa.array([t for t, _ in examples], pa.large_string())], names=["text"])
+    found, at, n = [], 0, 0
+    for piece in pieces(texts, "text"):  # of bounded size, as spans of words take several times the text
+        data, starts, ends, row = windows(piece.column("text"))
+        found.append((data, starts + at, ends + at, row + n))
+        at, n = at + len(data), n + len(piece)
+    if not found:
+        return {}
+    data, starts, ends, row = (np.concatenate(x) for x in zip(*found))
     toxic = y[row] > 0
     if not toxic.any() or toxic.all():
         return {}
