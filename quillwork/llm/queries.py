@@ -8,19 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import chat, decontaminate, jaccard, mixing, quality, sharding, suffixes, topk, toxicity, warc
-from quillwork.plans.spread import spread
-from quillwork.plans.streams import read
+from quillwork.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Characters of a conversation up to which it is written as JSON.
 JSON_CHARS = 1_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = read(spark, sf_dir, name)
-    return spread(df) if name in ("documents", "pages") else df
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
