@@ -15,8 +15,9 @@ a block's results are merged by query.  Results are exact, so no recall is lost.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows without an id.  Vectors of other lengths than the query's aren't compared.
-Whole numbers must fit: |scale * x| < 2^27.  Rows that repeat an id are all
-candidates, though not of their own id.
+Whole numbers must fit: |scale * x| < 2^27, else an error is raised.  Rows that repeat
+an id are all candidates, though not of their own id; of those that ask, the one with
+the smallest vector does.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from quillwork.plans.materialize import materialize
 
 K, SCALE, LEAF = 10, 1024, 128
 ROWS_PER_SHARD, QUERIES_PER_BLOCK = 16_384, 2_048
+#: Sizes of components from which on sums of products could leave what doubles hold exactly.
+LARGEST = 1 << 27
 
 
 class KDTree:
@@ -141,10 +144,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     spark = vectors.sparkSession
     used = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     used = materialize(used.select("vec_id", whole(F.col("embedding"), scale).alias("v"), is_query.alias("asks")), "topk-vectors")
-    rows = used.count()
+    rows, too_large = used.agg(F.count("*"), F.max(F.exists("v", lambda x: F.abs(x) >= LARGEST))).first()
+    if too_large:
+        raise ValueError(f"components must stay below {LARGEST} in size once scaled, or scores wouldn't be exact")
     shards = max(1, -(-rows // rows_per_shard))
     dealt = used.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "dim": F.size("v")})
-    asked = materialize(dealt.filter("asks").dropDuplicates(["vec_id"]), "topk-queries")
+    asked = dealt.filter("asks").groupBy("vec_id").agg(F.min(F.struct("v", "shard", "dim")).alias("q")).select("vec_id", "q.*")
+    asked = materialize(asked, "topk-queries")
     blocks = max(1, -(-asked.count() // QUERIES_PER_BLOCK))
     asked = asked.select(F.col("vec_id").alias("query_id"), "v", "shard", "dim", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("block"))
     result = "query_id long, vec_id long, score long"

@@ -47,3 +47,15 @@ def test_tree_bounds_are_tight():
         if rows is not None:
             assert (bounds[:, node] >= (v[rows] @ q.T).max(0)).all() and (tree.lows[node] == v[rows].min(0)).all()
     assert sum(len(r) for r in tree.rows if r is not None) == 1000
+
+
+def test_components_too_large_are_refused_and_repeated_ids_ask_once(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    big = spark.createDataFrame([(1, [1.0, float(1 << 17)]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(big, F.lit(True))
+    same = spark.createDataFrame([(1, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0]), (3, [0.5, 1.0])], "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(same, F.col("vec_id") == 1).collect()]
+    assert sorted(got) == [(1, 1, 2, 3 << 20), (1, 2, 3, 1 << 19)]
