@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillwork.catalog import documents, extras, numeric, safety, streams, text
+from quillwork.catalog import decoding, documents, extras, numeric, safety, streams, text
 
-MODULES = (streams, safety, numeric, text, documents, extras)
+MODULES = (streams, safety, numeric, text, documents, extras, decoding)
 
 
 def queries() -> dict:
