@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from quillwork.llm import labelled
 from quillwork.llm.packed import append_columns, batch_bytes, pieces, word_spans
 from quillwork.llm.words import fold_of
+from quillwork.plans.materialize import release
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 SAMPLE_ROWS, SAMPLE_CHARS = 9_000, 16_000_000
@@ -180,7 +181,11 @@ class Scorer:
 
 def score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """docs with the score as column `name`; a text passes through Python once."""
-    model = train(labelled.sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_ROWS, SAMPLE_CHARS))
+    examples = labelled.sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_ROWS, SAMPLE_CHARS)
+    release(docs.sparkSession)  # what collecting the sample took, before training takes its own
+    model = train(examples)
+    del examples
+    release(docs.sparkSession)
     scorers: list[Scorer] = []
 
     def scores(batch: pa.RecordBatch) -> list:

@@ -8,11 +8,13 @@ in one process (unit tests, a laptop) a folder of our own is used; a cluster has
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,9 +85,30 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of finished steps, which it does when the driver collects garbage."""
+    """Let Spark remove shuffle files of finished steps, which it does when the driver collects garbage, and trim the driver."""
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Give memory that the driver's Python and JVM have freed back to the system; their C library keeps such pages otherwise.
+
+    Whether the JVM has a command for that.
+    """
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+    jvm = spark._jvm
+    call = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)  # two nulls at the end: no arguments
+    call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(server, call)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
