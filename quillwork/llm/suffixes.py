@@ -63,6 +63,8 @@ DEEP = 5
 PARTS = 4
 #: Bytes of the batches of texts and packed arrays that a worker gets.
 BATCH_BYTES = 8 << 20
+#: Bytes of packed rows that a worker hands on at once.
+ROW_BYTES = 1 << 20
 END_HASH = np.uint64(0)
 START_HASH = np.uint64(0x5DEECE66D1234567)
 #: 64-bit words of a bit map at most: 8 MB.
@@ -152,13 +154,35 @@ def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, places of its keys)."""
-    part = (keys >> np.uint64(40)) % np.uint64(parts)
+    part = ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.min_scalar_type(parts))  # numbers of 16 bits are sorted by their digits
     order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=part.dtype))
     for k in np.flatnonzero(np.diff(ends)):
         yield int(k), order[ends[k] : ends[k + 1]]
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """Places of hashed keys in ascending order, equal ones as they come.
+
+    Sorts the keys' high bits with their places in the low ones, as numbers are sorted
+    much faster than places are; where that isn't the keys' order, places are.
+    """
+    low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
+    order = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order = (order & low).astype(np.int64)
+    ranked = keys[order]
+    return np.argsort(keys, kind="stable") if (ranked[1:] < ranked[:-1]).any() else order
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the keys, where each distinct one begins in it, how often it occurs)."""
+    order = order_of(keys)
+    ranked = keys[order]
+    begin = np.flatnonzero(np.concatenate([[len(keys) > 0], ranked[1:] != ranked[:-1]]))
+    return order, begin, np.diff(np.append(begin, len(keys)))
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
@@ -180,6 +204,24 @@ def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
         yield key, (r[n:] for r in same)
 
 
+def as_rows(found: list[tuple[int, int, int | None, bytes]]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=["part", "kind", "uid", "data"])
+
+
+def as_batches(rows: Iterator[tuple[int, int, int | None, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ROW_BYTES, as a batch costs more than a short row."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
+        if size >= ROW_BYTES:
+            yield as_rows(held)
+            held, size = [], 0
+    if held:
+        yield as_rows(held)
+
+
 def counted(docs: DataFrame, levels: range, bits: Bits | None) -> DataFrame:
     """A table (level, key, prefix, suffix, c) of the transitions from contexts of so many symbols that occur MIN_COUNT times at least.
 
@@ -208,15 +250,15 @@ def counted(docs: DataFrame, levels: range, bits: Bits | None) -> DataFrame:
                     yield emit(0, values, values, joined(values, values), counts)
                 for level, _, prefix, suffix, key in climb(hashes, first, top, known, deep):
                     if level in levels and len(key):
-                        key, at, counts = np.unique(key, return_index=True, return_counts=True)
-                        yield emit(level, prefix[at], suffix[at], key, counts)
+                        order, begin, counts = distinct(key)
+                        at = order[begin]
+                        yield emit(level, prefix[at], suffix[at], key[at], counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (level, _), rows in stretches(batches, ["level", "part"]):
             prefix, suffix, counts = (np.concatenate(x) for x in zip(*(unpacked(r[0], np.uint64, np.uint64, np.uint32) for r in rows)))
             key = joined(prefix, suffix)
-            order = np.argsort(key)
-            begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            order, begin, _ = distinct(key)
             total = np.add.reduceat(counts[order].astype(np.int64), begin)
             at = order[begin]
             if level:
@@ -410,10 +452,6 @@ def score(docs: DataFrame) -> DataFrame:
 
     row_type = "part int, kind int, uid bigint, data binary"
 
-    def as_rows(found: list[tuple[int, int, int | None, bytes]]) -> pa.RecordBatch:
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=["part", "kind", "uid", "data"])
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each piece of the texts its lookups by part (kind 1), and its rows with what the frequent keys tell (kind 2)."""
         uid = TaskContext.get().partitionId() << 40
@@ -439,7 +477,7 @@ def score(docs: DataFrame) -> DataFrame:
             key = key.view(np.uint64)
             yield as_rows([(part, 0, None, packed(key[i], v[i], more[i], word[i])) for part, i in by_part(key, parts)])
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """The sums of each piece's lookups in a part (kind 1); other rows pass."""
         for (part,), rows in stretches(batches, ["part"]):
             held, table_ = [], None
@@ -447,7 +485,7 @@ def score(docs: DataFrame) -> DataFrame:
                 if kind == 0:
                     held.append(unpacked(data, np.uint64, np.float64, np.float64, np.bool_))
                 elif kind == 2:
-                    yield as_rows([(part, kind, uid, data)])
+                    yield part, kind, uid, data
                 elif held:
                     if table_ is None:
                         table_ = [np.concatenate(x) for x in zip(*held)]
@@ -458,9 +496,12 @@ def score(docs: DataFrame) -> DataFrame:
                     at[at == len(key)] = 0
                     hit = key[at] == asked
                     at, row = at[hit], row[hit]
-                    doc, nth = np.unique(row, return_inverse=True)
-                    add = lambda x: np.bincount(nth, x[at], len(doc)).astype(np.float64)  # noqa: B023, E731
-                    yield as_rows([(part, kind, uid, packed(doc, add(word).astype(np.uint32), add(more), add(more + v)))])
+                    doc = np.flatnonzero(np.bincount(row))
+                    add = lambda x: np.bincount(row, x[at])[doc].astype(np.float64)  # noqa: B023, E731
+                    yield part, kind, uid, packed(doc.astype(np.uint32), add(word).astype(np.uint32), add(more), add(more + v))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return as_batches(looked(batches))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of each piece, with the sums of its lookups."""

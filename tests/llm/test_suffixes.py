@@ -84,3 +84,25 @@ def test_empty_and_only_held_out(documents):
     lone = next(i for i in range(50) if held(i))
     got = suffixes.score(documents([(lone, "a b", "s")])).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)]
+
+
+def test_keys_are_ordered_whatever_their_low_bits():
+    rng = np.random.default_rng(3)
+    spread = rng.integers(0, 1 << 63, 5_000, dtype=np.uint64) * np.uint64(2)
+    close = np.uint64(1 << 40) + rng.integers(0, 700, 5_000, dtype=np.uint64)  # alike but for the bits that hold places
+    for keys in (spread, np.tile(spread[:50], 40), close, np.r_[spread, close], np.full(9, 2**64 - 1, np.uint64), spread[:1], spread[:0]):
+        assert np.array_equal(suffixes.order_of(keys), np.argsort(keys, kind="stable"))
+        order, begin, counts = suffixes.distinct(keys)
+        values, times = np.unique(keys, return_counts=True)
+        assert np.array_equal(keys[order[begin]], values) and np.array_equal(counts, times)
+        for parts in (3, 48, 204, 70_000):
+            found = dict(suffixes.by_part(keys, parts))
+            assert sorted(np.concatenate([*found.values(), []]).tolist()) == list(range(len(keys)))
+            assert all(((keys[at] >> np.uint64(40)) % np.uint64(parts) == part).all() and (np.diff(at) > 0).all() for part, at in found.items())
+
+
+def test_short_rows_share_a_batch():
+    rows = [(k % 7, 1, k, b"x" * 100) for k in range(30_000)]
+    batches = list(suffixes.as_batches(iter(rows)))
+    assert len(batches) == 3 and [tuple(r.values()) for b in batches for r in b.to_pylist()] == rows
+    assert list(suffixes.as_batches(iter([]))) == []
