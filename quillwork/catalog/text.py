@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import pretok
 from quillwork.operators import tokenize
+from quillwork.plans.batches import bounded_batches
+from quillwork.plans.materialize import materialize
 from quillwork.plans.spread import spread
 from quillwork.plans.streams import joined, read
 
 #: Folder of the public vocabulary files; a parameter, as they aren't part of this repository.
 TOKENIZERS = os.environ.get("QUILLWORK_TOKENIZERS", "/opt/tokenizers")
+#: Bytes of an Arrow batch where two Python stages run in each task.
+BATCH_BYTES = 4_000_000
 _loaded: dict[str, tokenize.Vocabulary] = {}
 
 
@@ -109,9 +113,11 @@ def bpe_roundtrip(spark, sf_dir):
 
 def translate_ids(spark, sf_dir):
     a, b = vocabulary(spark), vocabulary(spark, "byte_bpe_multi_50k")
-    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", tokenize.encode(F.col("text"), a).alias("ids"))
-    docs = docs.withColumn("other", tokenize.translate(F.col("ids"), a, b))
-    return docs.select("doc_id", F.size("ids").alias("n_ids"), F.size("other").alias("n_other"), F.round(F.size("other") / F.greatest(F.size("ids"), F.lit(1)), 6).alias("ratio"))
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", tokenize.encode_and_render(F.col("text"), a).alias("a"))
+    docs = docs.select("doc_id", F.col("a.ids").alias("ids"), tokenize.encode(F.col("a.text"), b).alias("other"))
+    out = docs.select("doc_id", F.size("ids").alias("n_ids"), F.size("other").alias("n_other"), F.round(F.size("other") / F.greatest(F.size("ids"), F.lit(1)), 6).alias("ratio"))
+    with bounded_batches(spark, BATCH_BYTES):
+        return materialize(out, "translated")
 
 
 def translation_table_stats(spark, sf_dir):

@@ -2,7 +2,8 @@
 
 A vocabulary is a bounded lookup that travels to each worker once.  Pieces recur,
 so a worker keeps the ids of those it has seen in a table of bounded size; texts
-are never shuffled for that.
+are never shuffled for that.  Only distinct pieces become Python objects; all others,
+and the ids, stay in Arrow's buffers.
 """
 
 from __future__ import annotations
@@ -12,17 +13,26 @@ import heapq
 import re
 from collections import ChainMap
 from collections.abc import Iterable, Mapping
+from contextlib import suppress
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import chain, groupby, pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillwork.functions import pretok
 
-CACHE = 500_000
+#: Pieces whose ids a worker keeps, and as many that it used before those; longer pieces than CACHED_CHARS are merged anew each time.
+CACHE, CACHED_CHARS = 150_000, 64
+#: Parts up to which a scan for the lowest rank beats a queue.
+SCANNED = 48
+#: Pieces whose distinct ones are Python objects at a time.
+SLICE = 1 << 18
 REPLACEMENT = "�"
 
 
@@ -87,9 +97,29 @@ class Encoder:
         self.v, self.special = v, v.specials()
         self.ranks = {tuple(m.split(" ")): i for i, m in enumerate(v.merges)}
         self.known: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
 
     def merge(self, parts: list[str]) -> list[str]:
         """Merges by rank: all places of the lowest rank at hand, from the left, then those of the lowest there is by then."""
+        return self.scanned(parts) if len(parts) <= SCANNED else self.queued(parts)
+
+    def scanned(self, parts: list[str]) -> list[str]:
+        parts, get, none = list(parts), self.ranks.get, len(self.v.merges)
+        ranks = [get(pair, none) for pair in pairwise(parts)]
+        while ranks and (rank := min(ranks)) < none:
+            for _ in range(ranks.count(rank)):
+                if rank not in ranks:  # it overlapped the place before
+                    break
+                k = ranks.index(rank)
+                parts[k] += parts.pop(k + 1)
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = get((parts[k - 1], parts[k]), none)
+                if k < len(ranks):
+                    ranks[k] = get((parts[k], parts[k + 1]), none)
+        return parts
+
+    def queued(self, parts: list[str]) -> list[str]:
         n = len(parts)
         text: list[str | None] = list(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -115,7 +145,9 @@ class Encoder:
     def piece(self, piece: str) -> list[int]:
         if (ids := self.known.get(piece)) is not None:
             return ids
-        if piece in self.special:
+        if (ids := self.before.get(piece)) is not None:
+            pass
+        elif piece in self.special:
             ids = [self.special[piece]]
         else:
             start = [BYTE_CHARS[b] for b in piece.encode()] if self.v.encoder == "byte_level" else list(piece)
@@ -125,11 +157,36 @@ class Encoder:
                     ids.append(i)
                 elif self.v.byte_start >= 0:
                     ids += [self.v.byte_start + b for b in token.encode()]
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        self.known[piece] = ids
+        if len(piece) <= CACHED_CHARS:
+            if len(self.known) >= CACHE:
+                self.known, self.before = {}, self.known
+            self.known[piece] = ids
         return ids
 
+    def lists(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each list of pieces; null for null."""
+        flat, starts = pieces.flatten(), _starts(pieces)
+        counts, ids = [], [pa.array([], pa.int64())]
+        for k in range(0, len(flat), SLICE):
+            part = flat.slice(k, SLICE).dictionary_encode()
+            found = [self.piece(p) for p in part.dictionary.to_pylist()]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            values = pa.array(np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())))
+            ids.append(pa.ListArray.from_arrays(pa.array(_summed(sizes), pa.int32()), values).take(part.indices).flatten())
+            counts.append(sizes[part.indices.to_numpy()])
+        ends = _summed(np.concatenate(counts) if counts else np.zeros(0, np.int64))
+        return pa.ListArray.from_arrays(pa.array(ends[starts], pa.int32()), pa.concat_arrays(ids), mask=pieces.is_null())
+
+
+def _summed(sizes: np.ndarray) -> np.ndarray:
+    """0 and the running sums."""
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _starts(lists: pa.Array) -> np.ndarray:
+    """Where each list starts, and the last ends, in lists.flatten()."""
+    return _summed(lists.value_lengths().fill_null(0).to_numpy())
+
 
 def _lazily(make):
     """A value made once in each worker."""
@@ -149,11 +206,24 @@ def encode(text: Column, v: Vocabulary) -> Column:
         raise ValueError(f"{v.id} has no merges; use encode_longest")
     encoder = _lazily(lambda: Encoder(v))
 
-    def run(pieces: pd.Series) -> pd.Series:
-        e = encoder()
-        return pieces.map(lambda ps: None if ps is None else [i for p in ps for i in e.piece(p)])
+    def run(pieces: pa.Array) -> pa.Array:
+        return encoder().lists(pieces)
 
-    return F.pandas_udf(run, T.ArrayType(T.LongType()))(v.pieces(text))
+    return F.arrow_udf(run, T.ArrayType(T.LongType()))(v.pieces(text))
+
+
+def encode_and_render(text: Column, v: Vocabulary) -> Column:
+    """struct(ids, text): ids by byte-pair merges and what they stand for, each text being encoded once."""
+    if not v.merges:
+        raise ValueError(f"{v.id} has no merges; use encode_longest")
+    made = _lazily(lambda: (Encoder(v), Detokenizer(v)))
+
+    def run(pieces: pa.Array) -> pa.Array:
+        e, d = made()
+        ids = e.lists(pieces)
+        return pa.StructArray.from_arrays([ids, d.texts(ids)], ["ids", "text"])
+
+    return F.arrow_udf(run, "ids array<bigint>, text string")(v.pieces(text))
 
 
 def longest_match(text: str, fragments: Mapping[str, int], special: Mapping[str, int], longest: int) -> list[int]:
@@ -218,6 +288,7 @@ class Detokenizer:
 
     def __init__(self, v: Vocabulary, pending: bytes = b"") -> None:
         self.parts, self.pending = token_parts(v), pending
+        self.tables: dict[bool, tuple[pa.Array, pa.Array]] = {}  # ids of byte parts and those parts; by whether special tokens count
         self.hidden = dict.fromkeys(set(v.specials().values()) - set(range(v.byte_start, v.byte_end + 1)), "")
 
     def render(self, ids: Iterable[int], partial: bool = False, special: bool = False) -> str:
@@ -237,15 +308,37 @@ class Detokenizer:
         rest, self.pending = bytes(self.pending), b""
         return rest.decode(errors="replace")
 
+    def texts(self, lists: pa.Array, special: bool = False) -> pa.Array:
+        """The text of each list of ids, null for null: lists of byte parts that are UTF-8 by way of one buffer, others by render()."""
+        if special not in self.tables:
+            raw = {i: p for i, p in self.parts.items() if isinstance(p, bytes) and (special or i not in self.hidden)}
+            self.tables[special] = pa.array(list(raw), pa.int64()), pa.array(list(raw.values()), pa.large_binary())
+        keys, parts = self.tables[special]
+        flat, starts = lists.flatten(), _starts(lists)
+        joined = parts.take(pc.index_in(flat.cast(pa.int64()), keys))
+        other = _summed(joined.is_null().to_numpy(zero_copy_only=False))[starts]
+        at = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[starts] if len(joined) else starts
+        data = memoryview(joined.buffers()[2] or b"")
+        out = []
+        for k, there in enumerate(lists.is_valid().to_pylist()):
+            text = None
+            if there:
+                with suppress(UnicodeDecodeError):
+                    if other[k] == other[k + 1]:
+                        text = str(data[at[k] : at[k + 1]], "utf-8")
+                if text is None:
+                    text = self.render(flat.slice(starts[k], starts[k + 1] - starts[k]).to_pylist(), special=special)
+            out.append(text)
+        return pa.array(out, pa.string())
+
 
 def detokenize(ids: Column, v: Vocabulary, special: bool = False) -> Column:
     made = _lazily(lambda: Detokenizer(v))
 
-    def run(rows: pd.Series) -> pd.Series:
-        d = made()
-        return rows.map(lambda r: None if r is None else d.render(r, special=special))
+    def run(rows: pa.Array) -> pa.Array:
+        return made().texts(rows, special)
 
-    return F.pandas_udf(run, T.StringType())(ids)
+    return F.arrow_udf(run, T.StringType())(ids)
 
 
 def translate(ids: Column, source: Vocabulary, target: Vocabulary) -> Column:

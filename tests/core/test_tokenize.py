@@ -1,6 +1,8 @@
 import base64
 import os
+import random
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -103,3 +105,59 @@ def test_tokenizer_json():
     doc["pre_tokenizer"] = {"type": "Bert"}
     with pytest.raises(ValueError):
         T.from_tokenizer_json(doc, "x")
+
+
+def test_scan_and_queue_merge_alike():
+    rng = random.Random(5)
+    e = T.Encoder(T.Vocabulary("m", {}, ["ab ab", "a b", "b a", "a a", "aa aa", "ba b", "b b", "c ab"]))
+    for _ in range(2000):
+        parts = rng.choices("abc", k=rng.randrange(T.SCANNED))
+        assert e.scanned(parts) == e.queued(parts)
+
+
+def test_ids_in_slices_and_generations_of_the_table(monkeypatch):
+    monkeypatch.setattr(T, "SLICE", 3)
+    monkeypatch.setattr(T, "CACHE", 2)
+    v = T.Vocabulary("s", {c: i for i, c in enumerate(T.BYTE_CHARS)} | {"ab": 301}, ["a b"])
+    lists = pa.array([["ab", "c", "ab"], None, [], ["d", "abc", "", "ab", "c"], ["ab"]], pa.list_(pa.string()))
+    e, c, d = T.Encoder(v), ord("c"), ord("d")
+    want = [[301, c, 301], None, [], [d, 301, c, 301, c], [301]]
+    assert e.lists(lists).to_pylist() == want and len(e.known) <= 2 and len(e.before) <= 2
+    assert T.Encoder(v).lists(lists.slice(1, 3)).to_pylist() == want[1:4]
+
+
+def test_texts_equal_those_of_render():
+    v = T.Vocabulary("s", {c: i for i, c in enumerate(T.BYTE_CHARS)} | {"ab": 301, "<|end|>": 302, "\u4e2d": 303}, ["a b"])
+    rows = [[301, 99], None, [], [0xC3, 0xA9], [0xC3], [0xC3, 302, 0xA9], [0xE1, 303], [9999, None, 301], [301]]
+    lists = pa.array(rows, pa.list_(pa.int64()))
+    for special in (False, True):
+        want = [None if r is None else T.Detokenizer(v).render(r, special=special) for r in rows]
+        assert T.Detokenizer(v).texts(lists, special).to_pylist() == want and T.Detokenizer(v).texts(lists.slice(2, 5), special).to_pylist() == want[2:7]
+
+
+@needs_files
+def test_translation_of_whole_texts(spark, tmp_path):
+    from quillwork.catalog import text
+
+    rng = random.Random(1)
+    rows = [(i, t) for i, t in enumerate([*TEXTS, None])] + [(100 + i, " ".join(rng.choice(("word", "w\u00e9rd", "12", "\u4e2d\u6587", f"x{rng.random()}")) for _ in range(400))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in text.translate_ids(spark, str(tmp_path)).collect()}
+    pattern = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    encoders = [T.Encoder(text.vocabulary(spark, name)) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")]
+    n = lambda e, t: sum(len(e.queued([T.BYTE_CHARS[b] for b in p.encode()])) for p in regex.findall(pattern, t))
+    assert len(got) == len(rows)
+    for i, t in rows:
+        if t is not None:
+            assert [got[i].n_ids, got[i].n_other] == [n(e, t) for e in encoders], t
+    assert got[len(TEXTS)].n_ids == got[len(TEXTS)].n_other
+
+
+def test_table_of_pieces_is_bounded():
+    e = T.Encoder(T.Vocabulary("m", {"a": 0}, ["a b"]))
+    for k in range(400_000):
+        e.piece(f"{k:x}")
+    for k in range(300):
+        e.piece(f"{k:x}" * 2000)
+    kept = [e.known, getattr(e, "before", {})]
+    assert sum(map(len, kept)) <= 300_000 and sum(len(p) for known in kept for p in known) < 2_000_000
